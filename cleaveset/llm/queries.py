@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cleaveset.llm import langid, mixing, secrets, sharding, toxicity
+from cleaveset.llm import langid, mixing, neighbours, quality, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op5_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_mix_sources, op8_rendezvous_shards, op9_secret_scan)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_mix_sources, op5_vantage_neighbours, op8_rendezvous_shards, op9_secret_scan, op10_quality_classifier)}
 
 MIX_SQL = r"""
 WITH d AS (
@@ -84,4 +92,14 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM q
 """
 
-ORACLES: dict[str, str] = {"op3_mix_sources": MIX_SQL, "op8_rendezvous_shards": SHARD_SQL}
+NEIGHBOUR_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT * FROM u WHERE n > 0 AND isfinite(n)),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) / (q.n * c.n) AS score
+      FROM w q JOIN w c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM p QUALIFY rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op3_mix_sources": MIX_SQL, "op5_vantage_neighbours": NEIGHBOUR_SQL, "op8_rendezvous_shards": SHARD_SQL}
