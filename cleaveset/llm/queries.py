@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cleaveset.llm import langid, mixing, neighbours, quality, secrets, sharding, toxicity
+from cleaveset.llm import langid, mixing, neighbours, ngram_join, quality, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_mix_sources, op5_vantage_neighbours, op8_rendezvous_shards, op9_secret_scan, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_mix_sources, op5_vantage_neighbours, op6_ngram_jaccard, op8_rendezvous_shards, op9_secret_scan, op10_quality_classifier)}
 
 MIX_SQL = r"""
 WITH d AS (
@@ -102,4 +106,20 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM p QUALIFY rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op3_mix_sources": MIX_SQL, "op5_vantage_neighbours": NEIGHBOUR_SQL, "op8_rendezvous_shards": SHARD_SQL}
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS l FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(l) AS g FROM x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+r(a, b) AS (SELECT a, b FROM k UNION SELECT r.a, k.b FROM r JOIN k ON k.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT count(*) FROM k WHERE k.a = d.doc_id)::BIGINT AS n_similar,
+       least(d.doc_id, coalesce((SELECT min(r.b) FROM r WHERE r.a = d.doc_id), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_mix_sources": MIX_SQL, "op5_vantage_neighbours": NEIGHBOUR_SQL, "op6_ngram_jaccard": JACCARD_SQL, "op8_rendezvous_shards": SHARD_SQL}
