@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cleaveset.llm import langid, mixing, neighbours, ngram_join, quality, secrets, sharding, toxicity
+from cleaveset.llm import decontaminate, langid, mixing, neighbours, ngram_join, quality, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +47,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_mix_sources, op5_vantage_neighbours, op6_ngram_jaccard, op8_rendezvous_shards, op9_secret_scan, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_mix_sources, op4_benchmark_leaks, op5_vantage_neighbours, op6_ngram_jaccard, op8_rendezvous_shards, op9_secret_scan, op10_quality_classifier)}
 
 MIX_SQL = r"""
 WITH d AS (
