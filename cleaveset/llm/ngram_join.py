@@ -25,7 +25,7 @@ WORDS = 5
 #: A pair links when DEN * |x & y| >= NUM * |x | y|.
 NUM, DEN = 80, 100
 #: Bytes of shingles that one range of the count exchange should hold.
-RANGE_BYTES = 24_000_000
+RANGE_BYTES = 10_000_000
 
 
 def shingles(h: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -89,13 +89,14 @@ def _pack(texts: DataFrame, ranges: int, n: int) -> DataFrame:
 
     def run(found):
         names, parts, held = [], [], 0
+        most = min(max(ranges * 500, 1_000_000), 8_000_000)  # enough for each range's part of a row to be worth a row
         for b in found:
             for _, s in sets(b.column(0), n):
                 if len(s):
                     names.append(digest(s))
                     parts.append(s)
                     held += len(s)
-                if held > 4_000_000:
+                if held > most:
                     yield flush(names, parts)
                     names, parts, held = [], [], 0
         if parts:
@@ -115,8 +116,9 @@ def _own_counts(packed: DataFrame, ranges: int) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         token, name = _read(table)
-        order = np.argsort(token, kind="stable")
+        order = np.argsort(token)
         token, name = token[order], name[order]
+        del order
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         alone = np.minimum.reduceat(name, start) == np.maximum.reduceat(name, start)
         own = name[start[alone]]  # once for each shingle, however many copies the class has
@@ -266,7 +268,7 @@ def _walk(num: int, den: int, n: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, range_bytes: int = RANGE_BYTES, chunk_bytes: int = 16_000_000, broadcast_rows: int = 2_000_000, on_driver: int | None = None) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, range_bytes: int = RANGE_BYTES, chunk_bytes: int = 8_000_000, broadcast_rows: int = 2_000_000, on_driver: int | None = None) -> DataFrame:
     """Near-duplicate links of whole texts by Jaccard similarity of their word shingle sets, exactly.
 
     Returns one row for each row of ``docs``: doc_id, n_shingles, n_similar (other rows linked with it, copies
