@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cleaveset.llm import decontaminate, langid, mixing, neighbours, ngram_join, quality, secrets, sharding, toxicity
+from cleaveset.llm import decontaminate, katz, langid, mixing, neighbours, ngram_join, quality, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_mix_sources, op4_benchmark_leaks, op5_vantage_neighbours, op6_ngram_jaccard, op8_rendezvous_shards, op9_secret_scan, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_mix_sources, op4_benchmark_leaks, op5_vantage_neighbours, op6_ngram_jaccard, op7_katz_scores, op8_rendezvous_shards, op9_secret_scan, op10_quality_classifier)}
 
 MIX_SQL = r"""
 WITH d AS (
