@@ -19,6 +19,7 @@ BATCH = 64
 UND = "und"
 #: Bound of the labelled sample that fits the classifier, and of the landmarks among it, for each language.
 PER_LANGUAGE, LANDMARKS = 400, 24
+RIDGE = 1e-4
 
 
 def presence(texts: list[str]) -> np.ndarray:
@@ -102,7 +103,7 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_languag
     return names, z, norm[mark], np.linalg.solve(left, (knm * weight[:, None]).T @ y)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = 1e-4, carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> DataFrame:
     """Predicted language of every whole text.
 
     The classifier is fitted on a bounded sample of the labelled rows whose crc32(id as text) mod 5 isn't 0: at most
@@ -114,33 +115,61 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     null id counts as not held out. With nothing to learn from, all are ``und``. Repeated rows repeat their result; an
     empty table gives an empty result. ``carry`` names further columns to return.
     """
-    remainder = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % 5
-    held = F.col(id_col).isNotNull() & (remainder == 0)
-    names, z, norm, alpha = fit(docs.where(~held), id_col, text_col, lang_col, per_language, landmarks, ridge)
-    beta = (alpha / norm[:, None]).astype(np.float32) if names else None
-    model = docs.sparkSession.sparkContext.broadcast((names, np.packbits(z.astype(np.uint8), axis=1), beta))
+    held = _held_out(id_col)
+    model = _model(docs, id_col, text_col, lang_col, per_language, landmarks, ridge)
 
     def predict(found):
-        names, bits, beta = model.value
-        marks = np.unpackbits(bits, axis=1).astype(np.float32).T.copy() if names else None
+        predictor = Predictor(*model.value)
+        for b in found:
+            lang, score = predictor(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(predict, f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose language is identified, with their columns: ``und`` and scores below ``least`` are rejected."""
+    model = _model(docs, id_col, text_col, lang_col, PER_LANGUAGE, LANDMARKS, RIDGE)
+    place = docs.columns.index(text_col)
+
+    def run(found):
+        predictor = Predictor(*model.value)
         for b in found:
-            texts = b.column(2).to_pylist()
-            lang, score = [UND] * len(texts), np.zeros(len(texts))
-            ok = [k for k, t in enumerate(texts) if names and has_letter(t)]
-            for a, e in _groups([len(texts[k]) for k in ok]):
-                part = ok[a:e]
-                p = presence([texts[k] for k in part])
-                value = (p.astype(np.float32) @ marks) @ beta / np.sqrt(np.count_nonzero(p, axis=1))[:, None]
-                best = value.argmax(1)
-                for k, j, v in zip(part, best, value.max(1)):
-                    lang[k] = names[j]
-                    score[k] = min(1.0, max(0.0, float(v)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *b.columns[3:]], ["doc_id", "held_out", "lang_pred", "score", *carry])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("_text"), *carry)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = f"doc_id {kinds['doc_id']}, held_out boolean, lang_pred string, score double" + "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return rows.mapInArrow(predict, schema)
+            lang, score = predictor(b.column(place).to_pylist())
+            yield b.filter(pa.array((np.array(lang, object) != UND) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _held_out(id_col: str):
+    return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5).eqNullSafe(0)
+
+
+def _model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, landmarks: int, ridge: float):
+    names, z, norm, alpha = fit(docs.where(~_held_out(id_col)), id_col, text_col, lang_col, per_language, landmarks, ridge)
+    beta = (alpha / norm[:, None]).astype(np.float32) if names else None
+    return docs.sparkSession.sparkContext.broadcast((names, np.packbits(z.astype(np.uint8), axis=1), beta))  # bounded by the sample
+
+
+class Predictor:
+    """Scores texts by batches: presence times landmarks times coefficients."""
+
+    def __init__(self, names: list[str], bits: np.ndarray, beta: np.ndarray | None):
+        self.names, self.beta = names, beta
+        self.marks = np.unpackbits(bits, axis=1).astype(np.float32).T.copy() if names else None
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        lang, score = [UND] * len(texts), np.zeros(len(texts))
+        ok = [k for k, t in enumerate(texts) if self.names and has_letter(t)]
+        for a, e in _groups([len(texts[k]) for k in ok]):
+            part = ok[a:e]
+            p = presence([texts[k] for k in part])
+            value = (p.astype(np.float32) @ self.marks) @ self.beta / np.sqrt(np.count_nonzero(p, axis=1))[:, None]
+            for k, j, v in zip(part, value.argmax(1), value.max(1)):
+                lang[k] = self.names[j]
+                score[k] = min(1.0, max(0.0, float(v)))
+        return lang, score
 
 
 def _groups(lengths: list[int], most: int = 400_000):

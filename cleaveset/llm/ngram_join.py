@@ -268,7 +268,7 @@ def _walk(num: int, den: int, n: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, range_bytes: int = RANGE_BYTES, chunk_bytes: int = 8_000_000, broadcast_rows: int = 2_000_000, on_driver: int | None = None) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, range_bytes: int = RANGE_BYTES, chunk_bytes: int = 8_000_000, broadcast_rows: int = 2_000_000, on_driver: int | None = None, classes_too: bool = False) -> DataFrame:
     """Near-duplicate links of whole texts by Jaccard similarity of their word shingle sets, exactly.
 
     Returns one row for each row of ``docs``: doc_id, n_shingles, n_similar (other rows linked with it, copies
@@ -347,9 +347,42 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     info = classes.where("copies > 1").select("class").union(joined.select("class")).distinct()
     info = classes.join(info, "class").join(joined, "class", "left").join(lowest, "component", "left").join(degree, "class", "left")
     hot = F.col("copies") > 1_000_000
-    info = info.select("class", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_similar"), F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))).alias("salt"), hot.alias("hot"))
+    info = info.select("class", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "class").alias("component"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_similar"), F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))).alias("salt"), hot.alias("hot"))
     info = store.keep(info, "info")
     hot_names = [r["class"] for r in info.where("hot AND salt = 0").select("class").collect()] if info.where("hot").limit(1).count() else []  # at most rows / 1,000,000 of them
     salt = F.when(F.col("class").isin(hot_names), F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")).otherwise(F.lit(0)) if hot_names else F.lit(0)
     result = named.withColumn("salt", salt).join(info.drop("hot"), ["class", "salt"], "left")
-    return result.select(result["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    more = (F.col("class"), F.coalesce("component", "class").alias("component")) if classes_too else ()
+    return result.select(result["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of linked texts keeps the one of smallest id, with their columns.
+
+    Rows whose id is null or repeated are told apart by their shingle sets; of equal ones one stays. Texts without words
+    are linked with nothing and stay.
+    """
+    store = Store(docs.sparkSession)
+    result = store.keep(jaccard_join(docs, id_col, text_col, classes_too=True), "result")
+    unclear = store.keep(result.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id")), "unclear")
+    gone = result.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    drop = store.keep(gone.union(unclear.where("_id IS NOT NULL")).distinct(), "drop")
+    small = lambda t: F.broadcast(t) if t.count() <= broadcast_rows else t
+    clear = docs.where(F.col(id_col).isNotNull()).join(small(drop), F.col(id_col) == F.col("_id"), "left_anti")
+    if not unclear.limit(1).count():
+        return clear
+    own = docs.join(small(unclear), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("_row"))
+
+    def name(found):
+        for b in found:
+            out = np.zeros(b.num_rows, np.int64)
+            for k, s in sets(b.column(1)):
+                out[k] = digest(s)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), b.column(2)], ["_id", "_class", "_row"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    named = own.mapInArrow(name, f"_id {kinds['_id']}, _class long, _row {own.schema['_row'].dataType.simpleString()}")
+    right = result.select(F.col("doc_id").alias("_d"), F.col("class").alias("_c"), "component", "component_id", "n_shingles").distinct()
+    judged = named.join(right, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_class") == F.col("_c"))).where(F.col("_d").eqNullSafe(F.col("component_id")))
+    kept = judged.where("n_shingles = 0").select("_row").unionByName(judged.where("n_shingles > 0").dropDuplicates(["component"]).select("_row"))
+    return clear.unionByName(kept.select("_row.*"))
