@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleaveset.llm._trees import Boosted, isotonic
-from cleaveset.llm._words import text_bytes
+from cleaveset.llm._words import slices, text_bytes
 from cleaveset.llm.langid import hash_sample
 
 #: Bound of the labelled sample for each label value.
@@ -22,11 +22,11 @@ LEET = str.maketrans("4@3!1|0$57", "aaeiiiosst")
 EDGES = ".,;:!?\"'()[]{}<>*#%&$-_~`"
 UNITS = (4, 5, 6)
 NAMES = ("words", "hits", "density", "weight", "top", "distinct", "seed", "seed_density", "near_you", "you", "capitals", "marks", "bangs", "obfuscated", "digits")
-_CLASS = np.zeros((256, 4), np.int64)
-_CLASS[65:91, 0] = 1
-_CLASS[[c for c in range(33, 127) if not chr(c).isalnum()], 1] = 1
-_CLASS[[33, 63], 2] = 1
-_CLASS[48:58, 3] = 1
+_CLASS = np.zeros(256, np.uint8)  # 1 capital, 2 mark, 3 exclamation or question mark, 4 digit
+_CLASS[65:91] = 1
+_CLASS[[c for c in range(33, 127) if not chr(c).isalnum()]] = 2
+_CLASS[[33, 63]] = 3
+_CLASS[48:58] = 4
 
 
 def units(word: str) -> list[str]:
@@ -51,7 +51,7 @@ class Memo(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str):
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         letters, odd = plain(word)
         weight = max((self.lexicon.get(u, 0.0) for u in units(letters)), default=0.0) if letters else 0.0
@@ -64,7 +64,8 @@ class Memo(dict):
 def features(column: pa.Array, memo: Memo) -> np.ndarray:
     raw, offsets = text_bytes(column)
     out = np.zeros((len(column), len(NAMES)))
-    for k, text in enumerate(column.to_pylist()):
+    for k, text in enumerate(column):
+        text = text.as_py()
         words = (text or "").lower().split()
         n = max(1, len(words))
         marked = [(i, m) for i, m in enumerate(map(memo.__getitem__, words)) if m]
@@ -76,9 +77,11 @@ def features(column: pa.Array, memo: Memo) -> np.ndarray:
         out[k, :10] = (math.log1p(len(words)), len(weight), len(weight) / n, sum(weight), max(weight, default=0.0), len({words[i] for i, m in marked if m[0]}), seeds, seeds / n, near, len(you) / n)
         out[k, 13] = sum(m[3] for _, m in marked) / n
     size = np.maximum(1, np.diff(offsets))
-    for c, at in ((0, 10), (1, 11), (2, 12), (3, 14)):
-        total = np.concatenate([[0], np.cumsum(_CLASS[:, c][raw])])
-        out[:, at] = (total[offsets[1:]] - total[offsets[:-1]]) / size
+    for a, b in slices(offsets):
+        kind = _CLASS[raw[offsets[a] : offsets[b]]]
+        for c, at in ((0, 10), (1, 11), (2, 12), (3, 14)):
+            total = np.concatenate([[0], np.cumsum(kind == c + 1, dtype=np.int64)])[offsets[a : b + 1] - offsets[a]]
+            out[a:b, at] = np.diff(total) / size[a:b]
     return out
 
 
