@@ -20,6 +20,9 @@ FREQUENT = 256  # terms that are held dense
 #: Items of one round; more items take further rounds over the documents, so what is broadcast stays bounded.
 ITEMS, ITEM_WORDS = 2000, 400_000
 LEAST_WORDS = 5
+#: A window that starts at each block holds at least this share of an item's part in it, so a leak has that share of
+#: ``paraphrase`` of the part's words (as a multiset) in its best window; windows with fewer of them aren't compared word by word.
+OVERLAP = 0.6
 
 
 class Terms:
@@ -164,15 +167,22 @@ class Index:
         self.project = (basis * idf[:, None]).astype(np.float32)
         self.cosine, self.alike, self.verbatim, self.paraphrase, self.answer, self.answer_words = cosine, alike, verbatim, paraphrase, answer, answer_words
         self.items = [terms.ids(w).tolist() for w in words]
-        self.owner, rows, mass = [], [], []
+        self.whole = [self.bits(w) for w in self.items]
+        self.tails = [self.bits(w[-answer_words:]) for w in self.items]
+        self.owner, rows, mass, enough = [], [], [], []
+        member = []
         for k, w in enumerate(self.items):
             size = BLOCK * (SPAN - 1)
             parts = max(1, round(len(w) / size))
             for part in np.array_split(np.array(w, np.int64), parts):  # a long item asks by its parts
-                v = np.bincount(part, minlength=len(idf)) * idf
+                v = np.bincount(part, minlength=len(idf))
+                member.append(v.astype(np.int16))
+                v = v * idf
                 rows.append(v @ basis)
                 mass.append((v * v).sum())
                 self.owner.append(k)
+                enough.append(OVERLAP * paraphrase * len(part))
+        self.member, self.enough = np.array(member), np.array(enough)
         q = np.array(rows)
         self.queries = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)).astype(np.float32)
         self.least = energy * min(mass)
@@ -187,12 +197,10 @@ class Index:
 
     def verify(self, k: int, span: list[int], cosine: float) -> tuple[float, float] | None:
         """(share of the item in order within the span, same of its answer part) of a leak, else None."""
-        item = self.items[k]
-        share = common(*self.bits(item), span) / len(item)
+        share = common(*self.whole[k], span) / len(self.items[k])
         if share < self.paraphrase:
             return None
-        tail = item[-self.answer_words :]
-        answer = common(*self.bits(tail), span) / len(tail)
+        answer = common(*self.tails[k], span) / min(len(self.items[k]), self.answer_words)
         return (share, answer) if share >= self.verbatim or answer >= self.answer and cosine >= self.alike else None
 
     def search(self, h: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
@@ -209,6 +217,14 @@ class Index:
         end = np.minimum(np.arange(first[-1]) + SPAN, first[1:][row])
         near = np.flatnonzero(total[end] - total[:-1] >= self.least)
         out: dict[tuple[int, int], tuple[float, float, float]] = {}
+        if not len(near):
+            return out
+        latent = np.zeros((first[-1] + 1, self.project.shape[1]), np.float32)  # by block; windows are sums of blocks
+        known, place = term[have], block[have]
+        for a in range(0, len(known), 32768):
+            t, at = known[a : a + 32768], place[a : a + 32768]
+            heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            latent[at[heads]] += np.add.reduceat(self.project[t], heads, axis=0)
         for a in range(0, len(near), 1024):
             window = near[a : a + 1024]
             r = row[window]
@@ -219,12 +235,22 @@ class Index:
             t = term[at]
             who = np.repeat(np.arange(len(window)), size)[t >= 0]
             t = t[t >= 0]
-            cut = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-            v = np.zeros((len(window), self.project.shape[1]), np.float32)
-            v[who[cut]] = np.add.reduceat(self.project[t], cut, axis=0)
+            v = latent[window]
+            for j in range(1, SPAN):
+                v += latent[np.where(window + j < end[window], window + j, first[-1])]  # the last row is zero
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
             score = v @ self.queries.T
-            for w, q in zip(*np.nonzero(score >= self.cosine)):
+            key, times = np.unique(who * len(self.hashes) + t, return_counts=True)
+            which = key % len(self.hashes)
+            who_at = np.searchsorted(key // len(self.hashes), np.arange(len(window) + 1))
+            pair_w, pair_q = np.nonzero(score >= self.cosine)
+            count = who_at[pair_w + 1] - who_at[pair_w]
+            pair_w, pair_q, count = pair_w[count > 0], pair_q[count > 0], count[count > 0]
+            begin = np.cumsum(count) - count
+            at = np.repeat(who_at[pair_w] - begin, count) + np.arange(count.sum())
+            held = np.add.reduceat(np.minimum(self.member[np.repeat(pair_q, count), which[at]], times[at]), begin) if len(begin) else begin
+            good = held >= self.enough[pair_q]
+            for w, q in zip(pair_w[good], pair_q[good]):
                 k = int(self.owner[q])
                 key = (int(r[w]), k)
                 if key in out and out[key][1] >= 1.0:
