@@ -1,6 +1,293 @@
-"""Registry of the engine's queries and their oracle SQL."""
+"""Registry of the engine's queries and, where SQL can express them, their oracle SQL (DuckDB dialect).
+
+Every query runs over its whole tables. Scores are rounded before they are ranked, on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cleaveset.functions import text as fn
+from cleaveset.operators import audio, cluster, embedding, image, metrics, pairwise, splits, tabular, text
+from cleaveset.operators.ranking import cut_by_ratio, rank_by, train_size
+from cleaveset.sources import generators
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"), "label")
+
+
+def _on(table: str, build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(_vectors(spark, sf_dir) if table == "embeddings" else _table(spark, sf_dir, table))
+
+
+def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = sql
+
+
+# SQL parts --------------------------------------------------------------------------------------------------------
+V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings)"
+MEAN = "SELECT {by}list(x ORDER BY pos) AS c FROM (SELECT {by}pos, avg(x) AS x FROM (SELECT {by}unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM v) GROUP BY ALL) {group}"
+C = f"c AS ({MEAN.format(by='', group='')})"
+CL = f"cl AS ({MEAN.format(by='label, ', group='GROUP BY label')})"
+
+
+def l2(a: str, b: str) -> str:
+    return f"sqrt(list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))))"
+
+
+PAIRS = f"p AS (SELECT a.id, b.id AS other, {l2('a.e', 'b.e')} AS d FROM v a JOIN v b ON a.id <> b.id)"
+DIST = f"s AS (SELECT id, round({l2('e', 'c')}, 6) AS score FROM v, c)"
+
+
+def ranked(source: str, low_first: bool = True, tail: str = "") -> str:
+    return f"SELECT id, score, row_number() OVER (ORDER BY score {'ASC' if low_first else 'DESC'} NULLS LAST, id) AS pos{tail} FROM {source}"
+
+
+def cut(source: str, low_first: bool = True) -> str:
+    return f"SELECT *, CASE WHEN pos <= floor((SELECT count(*) FROM s) * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM ({ranked(source, low_first)})"
+
+
+def with_scores(sql: str, low_first: bool = True) -> str:
+    return f"WITH s AS ({sql}) {ranked('s', low_first)}"
+
+
+def knn(k: int) -> str:
+    return f"n AS (SELECT * FROM (SELECT id, other, round(d, 9) AS d, row_number() OVER (PARTITION BY id ORDER BY round(d, 9), other) AS r FROM p) WHERE r <= {k})"
+
+
+def grouped(inner: str, group: str, least: int = 0) -> str:
+    return f"""SELECT {inner}, CASE WHEN row_number() OVER (PARTITION BY {group} ORDER BY md5(id::VARCHAR || ':42'), id)
+    <= greatest({least}, floor(count(*) OVER (PARTITION BY {group}) * 0.7::DOUBLE)) THEN 'train' ELSE 'test' END AS split"""
+
+
+def binned() -> str:
+    edges = ", ".join(f"round(quantile_cont(score, {i / 10!r}), 6)" for i in range(1, 10))
+    return f"q AS (SELECT [{edges}] AS edges FROM s), b AS (SELECT id, len(list_filter(edges, lambda x: x <= score))::INT AS bin FROM s, q)"
+
+
+# Embeddings -------------------------------------------------------------------------------------------------------
+add("emb_centroid", _on("embeddings", metrics.compute_centroid), f"WITH {V}, {C} SELECT (generate_subscripts(c, 1) - 1)::INT AS pos, round(unnest(c), 9) AS value FROM c")
+add("emb_mean_dist", _on("embeddings", metrics.mean_dist), f"WITH {V}, {C} SELECT round(avg({l2('e', 'c')}), 6) AS mean_dist FROM v, c")
+add("emb_distance_to_mean", _on("embeddings", embedding.distance_to_mean), f"WITH {V}, {C}, {DIST} {ranked('s')}")
+add("emb_nearest_neighbor", _on("embeddings", embedding.distance_to_nearest_neighbor), f"WITH {V}, {PAIRS}, s AS (SELECT id, min(round(d, 6)) AS score FROM p GROUP BY id) {ranked('s')}")
+DENSITY = f"WITH {V}, {PAIRS}, r AS (SELECT {{}} AS r FROM p), s AS (SELECT id, count(*) FILTER (round(d, 6) <= r) AS score FROM p, r GROUP BY id) {ranked('s')}"
+add("emb_local_density", _on("embeddings", embedding.local_density), DENSITY.format("round(quantile_cont(d, 0.5), 6)"))
+add("emb_local_density_radius", _on("embeddings", lambda v: embedding.local_density(v, 1.3)), DENSITY.format("max(1.3::DOUBLE)"))
+LOF = f"""WITH {V}, {PAIRS}, {knn(20)}, k AS (SELECT id, max(d) AS kd FROM n GROUP BY id),
+l AS (SELECT n.id, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM n JOIN k ON k.id = n.other GROUP BY n.id),
+s AS (SELECT n.id, round(avg(o.lrd) / min(l.lrd), 6) AS score FROM n JOIN l o ON o.id = n.other JOIN l ON l.id = n.id GROUP BY n.id) {ranked('s')}"""
+add("emb_lof", _on("embeddings", lambda v: embedding.outlier_score(v, "lof")), LOF)
+add("emb_isolation_forest", _on("embeddings", embedding.outlier_score))
+add("emb_pairwise_cosine", _on("embeddings", lambda v: pairwise.nearest(v, k=3, metric="cosine", digits=6).select("id", "other", F.col("d").alias("distance"), F.col("place").cast("long").alias("place"))),
+    f"WITH {V}, p AS (SELECT a.id, b.id AS other, round(1 - list_cosine_similarity(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.id <> b.id) SELECT id, other, distance, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS place FROM p QUALIFY place <= 3")
+
+# Splits with oracles ----------------------------------------------------------------------------------------------
+add("split_random", _on("embeddings", splits.random_split), f"WITH {V} SELECT id, CASE WHEN row_number() OVER (ORDER BY md5(id::VARCHAR || ':42'), id) <= floor(count(*) OVER () * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM v")
+add("split_distance_adversarial", _on("embeddings", splits.distance_adversarial_split), f"WITH {V}, {C}, {DIST} {cut('s')}")
+KNN_DENSITY = f"{PAIRS}, {knn(10)}, s AS (SELECT id, round(1 / (avg(d) + 1e-10), 6) AS score FROM n GROUP BY id)"
+add("split_density_adversarial", _on("embeddings", splits.density_adversarial_split), f"WITH {V}, {KNN_DENSITY} {cut('s', False)}")
+add("split_density_balanced", _on("embeddings", splits.density_balanced_split), f"WITH {V}, {KNN_DENSITY}, {binned()} {grouped('id, bin', 'bin', 1)} FROM b")
+add("split_stratified_similarity", _on("embeddings", splits.stratified_similarity_split), f"WITH {V}, {C}, {DIST}, {binned()} {grouped('id, bin', 'bin', 1)} FROM b")
+add("split_stratified_random", _on("embeddings", lambda v: splits.stratified_random_split(v, "label")), f"""
+WITH {V}, q AS (SELECT label, count(*) AS n, floor(count(*) * 0.7::DOUBLE) AS base, round(count(*) * 0.7::DOUBLE - floor(count(*) * 0.7::DOUBLE), 9) AS rest FROM v GROUP BY label),
+k AS (SELECT label, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, label) <= floor(sum(n) OVER ()::DOUBLE * 0.7::DOUBLE) - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM q)
+SELECT id, CASE WHEN row_number() OVER (PARTITION BY v.label ORDER BY md5(id::VARCHAR || ':42'), id) <= k THEN 'train' ELSE 'test' END AS split FROM v JOIN k ON k.label = v.label""")
+add("split_cluster_leak", _on("embeddings", lambda v: splits.cluster_leak_split(v, cluster="label")), f"WITH {V} {grouped('id', 'label')} FROM v")
+
+
+def _per_label(v: DataFrame) -> DataFrame:
+    order = embedding.per_label_order(v, "label")
+    return order.select("id", "label", "score", "pos", F.when(F.col("pos") <= train_size(F.col("n"), 0.7), "train").otherwise("test").alias("split"))
+
+
+add("demo_per_label_split", _on("embeddings", _per_label), f"""
+WITH {V}, {CL}, s AS (SELECT id, v.label, round({l2('e', 'c')}, 6) AS score FROM v JOIN cl ON cl.label = v.label)
+SELECT id, label, score, row_number() OVER (PARTITION BY label ORDER BY score, id) AS pos,
+       CASE WHEN pos <= floor(count(*) OVER (PARTITION BY label) * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM s""")
+
+FOLD = """, f AS (
+  SELECT k, cluster, n, n <= t AS fits, CASE WHEN n <= t THEN n ELSE 0 END AS total, t FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.k, o.cluster, o.n, f.total + o.n <= o.t, f.total + CASE WHEN f.total + o.n <= o.t THEN o.n ELSE 0 END, o.t FROM f JOIN o ON o.k = f.k + 1)
+SELECT id, CASE WHEN fits THEN 'train' ELSE 'test' END AS split FROM v JOIN f ON f.cluster = v.label"""
+TARGET = "(SELECT floor(count(*) * 0.7::DOUBLE) FROM v)"
+add("split_cluster_fit_or_skip", _on("embeddings", lambda v: splits.cluster_split(v, cluster="label")),
+    f"WITH RECURSIVE {V}, o AS (SELECT label AS cluster, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(id)) AS k, {TARGET} AS t FROM v GROUP BY label){FOLD}")
+add("split_centroid_fit_or_skip", _on("embeddings", lambda v: splits.centroid_adversarial_split(v, cluster="label")),
+    f"WITH RECURSIVE {V}, {C}, {CL}, g AS (SELECT label, count(*) AS n FROM v GROUP BY label), o AS (SELECT g.label AS cluster, n, row_number() OVER (ORDER BY round({l2('cl.c', 'c.c')}, 6), g.label) AS k, {TARGET} AS t FROM g JOIN cl ON cl.label = g.label, c){FOLD}")
+
+
+def _with_split(v: DataFrame) -> DataFrame:
+    return v.join(splits.random_split(v), "id")
+
+
+RANDOM = "r AS (SELECT id, e, label, CASE WHEN row_number() OVER (ORDER BY md5(id::VARCHAR || ':42'), id) <= floor(count(*) OVER () * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM v)"
+add("cluster_leakage", _on("embeddings", lambda v: cluster.cluster_info(_with_split(v), "label")), f"""
+WITH {V}, {RANDOM}, g AS (SELECT label, count(*) AS total, count(*) FILTER (split = 'train') AS in_train, count(*) FILTER (split = 'test') AS in_test FROM r GROUP BY label)
+SELECT label, total, in_train, in_test, least(in_train, in_test) AS leakage, round(count(*) FILTER (least(in_train, in_test) > 0) OVER () / count(*) OVER (), 6) AS leak_ratio FROM g""")
+add("split_similarity_report", _on("embeddings", lambda v: metrics.split_similarity(_with_split(v).select("id", "e", "split"))), f"""
+WITH {V}, {RANDOM}, {PAIRS}, m AS (SELECT round(quantile_cont(d, 0.5), 6) AS m FROM p),
+cs AS (SELECT split, list(x ORDER BY pos) AS c FROM (SELECT split, pos, avg(x) AS x FROM (SELECT split, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM r) GROUP BY ALL) GROUP BY split),
+n AS (SELECT p.id, min(round(d, 6)) AS d FROM p JOIN r a ON a.id = p.id AND a.split = 'test' JOIN r b ON b.id = p.other AND b.split = 'train' GROUP BY p.id)
+SELECT (SELECT round({l2('a.c', 'b.c')}, 6) FROM cs a, cs b WHERE a.split = 'train' AND b.split = 'test') AS centroid_distance, round(avg(d), 6) AS mean_nearest, round(avg((d <= m)::INT::DOUBLE), 6) AS coverage FROM n, m""")
+add("split_ks_report", _on("embeddings", lambda v: metrics.kolmogorov_smirnov(_with_split(v))), f"""
+WITH {V}, {RANDOM}, u AS (SELECT split, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos FROM r),
+g AS (SELECT pos, x, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'test') AS b FROM u GROUP BY pos, x),
+k AS (SELECT pos, abs(sum(a) OVER (PARTITION BY pos ORDER BY x)::DOUBLE / sum(a) OVER (PARTITION BY pos) - sum(b) OVER (PARTITION BY pos ORDER BY x)::DOUBLE / sum(b) OVER (PARTITION BY pos)) AS gap FROM g)
+SELECT pos::INT AS pos, round(max(gap), 6) AS ks FROM k GROUP BY pos""")
+add("split_duplicate_spread", _on("embeddings", lambda v: splits.duplicate_spread_split(v, similarity_threshold=1.05)), f"""
+WITH RECURSIVE {V}, {PAIRS}, k AS (SELECT id AS a, other AS b FROM p WHERE d <= 1.05), w(a, b) AS (SELECT a, b FROM k UNION SELECT w.a, k.b FROM w JOIN k ON k.a = w.b),
+g AS (SELECT v.id, least(v.id, coalesce(min(w.b), v.id)) AS component FROM v LEFT JOIN w ON w.a = v.id GROUP BY v.id),
+z AS (SELECT id, component, count(*) OVER (PARTITION BY component) AS n, row_number() OVER (PARTITION BY component ORDER BY md5(id::VARCHAR || ':42'), id) AS r FROM g)
+SELECT id, component, CASE WHEN r <= CASE WHEN n = 1 THEN 1 ELSE least(greatest(floor(n * 0.7::DOUBLE), 1), n - 1) END THEN 'train' ELSE 'test' END AS split FROM z""")
+
+# Splits held by invariants in the tests ----------------------------------------------------------------------------
+for _name, _split in {
+    "split_kmeans": splits.cluster_split,
+    "split_dbscan": lambda v: splits.cluster_split(v, method="dbscan", eps=1.15, min_samples=4),
+    "split_centroid_kmeans": splits.centroid_adversarial_split,
+    "split_kmeans_leak": splits.cluster_leak_split,
+    "split_outlier_forest": splits.outlier_adversarial_split,
+    "split_min_cut": splits.min_cut_split,
+    "split_stoer_wagner": lambda v: splits.min_cut_split(v, method="stoer_wagner"),
+    "split_normalized_cut": splits.normalized_cut_split,
+    "split_centroid_matched": splits.centroid_matched_split,
+    "split_distribution_matched": splits.distribution_matched_split,
+    "split_moment_matched": splits.moment_matched_split,
+    "split_histogram_matched": splits.histogram_matched_split,
+    "split_mmd_minimized": splits.mmd_minimized_split,
+    "split_neighbor_coverage": splits.neighbor_coverage_split,
+    "split_nearest_neighbor": splits.nearest_neighbor_split,
+    "split_max_coverage": splits.max_coverage_split,
+}.items():
+    add(_name, _on("embeddings", lambda v, split=_split: split(v.select("id", "e"))))
+
+# Tables -----------------------------------------------------------------------------------------------------------
+CUSTOMER = "SELECT c_custkey AS id, {} AS score FROM customer"
+add("tab_column_value", _on("customer", lambda t: tabular.column_value(t, "c_acctbal", "c_custkey", False)), with_scores(CUSTOMER.format("c_acctbal"), False))
+add("tab_column_value_text", _on("part", lambda t: tabular.column_value(t, "p_name", "p_partkey")), with_scores("SELECT p_partkey AS id, p_name AS score FROM part"))
+RANK = "SELECT {id} AS id, round((rank() OVER (ORDER BY {v} NULLS LAST) + (count(*) OVER (PARTITION BY {v}) - 1) / 2) / count(*) OVER () * 100, 6) AS score FROM {t}"
+add("tab_column_rank", _on("part", lambda t: tabular.column_rank(t, "p_size", "p_partkey")), with_scores(RANK.format(id="p_partkey", v="p_size", t="part")))
+Z = "(c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER ()"
+add("tab_column_zscore", _on("customer", lambda t: tabular.column_zscore(t, "c_acctbal", "c_custkey")), with_scores(CUSTOMER.format(f"round({Z}, 6)")))
+add("tab_absolute_zscore", _on("customer", lambda t: tabular.column_zscore(t, "c_acctbal", "c_custkey", False, True)), with_scores(CUSTOMER.format(f"round(abs({Z}), 6)"), False))
+add("tab_missing_ratio", lambda s, d: tabular.missing_value_ratio(_table(s, d, "documents").join(_table(s, d, "labels"), "doc_id", "left").select("doc_id", "lang", "quality", "toxic"), "doc_id", False),
+    with_scores("SELECT doc_id AS id, round(((lang IS NULL)::INT + (quality IS NULL)::INT + (toxic IS NULL)::INT)::DOUBLE / 3, 6) AS score FROM documents LEFT JOIN labels USING (doc_id)", False))
+add("tab_row_sparsity", _on("lineitem", lambda t: tabular.row_sparsity(t.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_discount", "l_tax"))),
+    with_scores("SELECT l_orderkey * 10 + l_linenumber AS id, round(((abs(l_quantity) < 1e-10)::INT + (abs(l_discount) < 1e-10)::INT + (abs(l_tax) < 1e-10)::INT)::DOUBLE / 3, 6) AS score FROM lineitem"))
+add("tab_outlier_zscore", _on("part", lambda t: tabular.outlier_zscore(t.select("p_partkey", "p_size", "p_retailprice"), "p_partkey", False)),
+    with_scores("SELECT p_partkey AS id, round((abs(p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () + abs(p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER ()) / 2, 6) AS score FROM part", False))
+RANGE = " + ".join(f"abs((rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2) / count(*) OVER () * 100 - 50)" for c in ("p_size", "p_retailprice"))
+add("tab_numerical_range", _on("part", lambda t: tabular.numerical_range_score(t.select("p_partkey", "p_size", "p_retailprice"), "p_partkey")), with_scores(f"SELECT p_partkey AS id, round(({RANGE}) / 2, 6) AS score FROM part"))
+add("tab_categorical_rarity", _on("customer", lambda t: tabular.categorical_rarity(t, "c_mktsegment", "c_custkey")), with_scores(CUSTOMER.format("round(count(*) OVER (PARTITION BY c_mktsegment) / count(c_mktsegment) OVER (), 6)"), False))
+ENTROPY = " + ".join(f"-ln(count(*) OVER (PARTITION BY {c}) / count(*) OVER () + 1e-10)" for c in ("p_brand", "p_type"))
+add("tab_feature_entropy", _on("part", lambda t: tabular.feature_entropy(t.select("p_partkey", "p_brand", "p_type"), "p_partkey", False)), with_scores(f"SELECT p_partkey AS id, round({ENTROPY}, 6) AS score FROM part", False))
+MD = " + ".join(f"pow({c} - avg({c}) OVER (), 2)" for c in ("p_size", "p_retailprice"))
+add("tab_distance_to_mean", _on("part", lambda t: tabular.row_distance_to_mean(t.select("p_partkey", "p_size", "p_retailprice"), "p_partkey")), with_scores(f"SELECT p_partkey AS id, round(sqrt({MD}), 6) AS score FROM part"))
+SCALED = "({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())"
+add("tab_multi_column", _on("part", lambda t: tabular.multi_column_sort(t, ["p_size", "p_retailprice"], [2.0, -1.0], "p_partkey")),
+    with_scores(f"SELECT p_partkey AS id, round(2.0::DOUBLE * ({SCALED.format(c='p_size')}) - ({SCALED.format(c='p_retailprice')}), 6) AS score FROM part"))
+add("tab_isolation_forest", _on("part", lambda t: embedding.outlier_score(t.select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), "p_retailprice").alias("e")))))
+
+
+def _cut_table(t: DataFrame) -> DataFrame:
+    return cut_by_ratio(rank_by(t.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score")))).select("id", "score", "pos", "split")
+
+
+add("tab_rank_and_cut", _on("orders", _cut_table), f"WITH s AS (SELECT o_orderkey AS id, o_totalprice AS score FROM orders) {cut('s')}")
+
+# Texts ------------------------------------------------------------------------------------------------------------
+TOKENS = r"regexp_extract_all(text, '[^\s]+')"
+DOC = "SELECT doc_id AS id, {} AS score FROM documents"
+add("txt_char_length", _on("documents", lambda t: text.character_length(t, id_col="doc_id")), with_scores(DOC.format("length(text)::INT")))
+add("txt_token_length", _on("documents", lambda t: text.tokens_length(t, id_col="doc_id", short_first=False)), with_scores(DOC.format(f"len({TOKENS})::INT"), False))
+add("txt_lexical_diversity", _on("documents", lambda t: text.lexical_diversity(t, id_col="doc_id")), with_scores(DOC.format(f"round(CASE WHEN len({TOKENS}) > 0 THEN len(list_distinct({TOKENS})) / len({TOKENS}) ELSE 0.0 END, 6)")))
+add("txt_sentence_count", _on("documents", lambda t: text.sentence_count(t, id_col="doc_id")))
+add("txt_vocabulary_rarity", _on("documents", lambda t: text.vocabulary_rarity(t, text.corpus_frequencies(t), id_col="doc_id")), rf"""
+WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[^\s]+')) AS w FROM documents), f AS (SELECT w, count(*) / sum(count(*)) OVER () AS f FROM t GROUP BY w),
+s AS (SELECT d.doc_id AS id, round(coalesce(m, 0.0), 6) AS score FROM documents d LEFT JOIN (SELECT id, sum(1 - f) / count(*) AS m FROM t JOIN f USING (w) GROUP BY id) x ON x.id = d.doc_id) {ranked('s')}""")
+COUNTS = r"""WITH a AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '[a-z]+') AS ws, greatest(1, len(regexp_extract_all(text, '[.!?]+')))::DOUBLE AS s, len(regexp_extract_all(lower(text), '[a-z]'))::DOUBLE AS l FROM conversations),
+b AS (SELECT id, s, l, len(ws)::DOUBLE AS w, list_transform(ws, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN regexp_matches(x, '[^l]e$') THEN 1 ELSE 0 END)) AS ys FROM a),
+c AS (SELECT id, s, l, w, coalesce(list_sum(ys), 0)::DOUBLE AS y, len(list_filter(ys, lambda x: x >= 3))::DOUBLE AS h FROM b),
+s AS (SELECT id, CASE WHEN w >= 20 THEN round({}, 6) ELSE 'inf'::DOUBLE END AS score FROM c) """
+for _name, _formula in {
+    "flesch_kincaid": "0.39::DOUBLE * (w / s) + 11.8::DOUBLE * (y / w) - 15.59::DOUBLE",
+    "flesch": "206.835::DOUBLE - 1.015::DOUBLE * (w / s) - 84.6::DOUBLE * (y / w)",
+    "gunning_fog": "0.4::DOUBLE * (w / s + 100 * (h / w))",
+    "coleman_liau": "0.0588::DOUBLE * (100 * l / w) - 0.296::DOUBLE * (100 * s / w) - 15.8::DOUBLE",
+    "ari": "4.71::DOUBLE * (l / w) + 0.5::DOUBLE * (w / s) - 21.43::DOUBLE",
+    "linsear_write": "CASE WHEN (w - h + 3 * h) / s > 20 THEN (w - h + 3 * h) / s / 2 ELSE ((w - h + 3 * h) / s - 2) / 2 END",
+    "smog": "CASE WHEN s >= 30 THEN 1.043::DOUBLE * sqrt(30 * (h / s)) + 3.1291::DOUBLE ELSE 'inf'::DOUBLE END",
+}.items():
+    add(f"txt_readability_{_name}", _on("conversations", lambda t, m=_name: text.readability_score(t.withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), m, min_words=20)), COUNTS.format(_formula) + ranked("s"))
+add("txt_bigram_perplexity", _on("conversations", lambda t: text.bigram_perplexity(t.withColumn("id", F.col("conv_id") * 1000 + F.col("turn")))), rf"""
+WITH t AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '[^\s]+') AS t FROM conversations), u AS (SELECT * FROM t WHERE len(t) >= 2),
+p AS (SELECT id, unnest(list_transform(range(1, len(t)), lambda i: {{'a': t[i], 'b': t[i + 1]}})) AS p FROM u), b AS (SELECT p.a AS a, p.b AS b, count(*) AS n FROM p GROUP BY ALL), o AS (SELECT a, sum(n) AS na FROM b GROUP BY a),
+z AS (SELECT count(DISTINCT w) AS v FROM (SELECT unnest(t) AS w FROM u)),
+s AS (SELECT t.id, round(coalesce(exp(m), 'inf'::DOUBLE), 6) AS score FROM t LEFT JOIN (SELECT p.id, -sum(ln((n + 1)::DOUBLE / (na + v)::DOUBLE)) / count(*) AS m FROM p JOIN b ON b.a = p.p.a AND b.b = p.p.b JOIN o ON o.a = p.p.a, z GROUP BY p.id) x ON x.id = t.id) {ranked('s')}""")
+
+
+def _neighbours(t: DataFrame) -> DataFrame:
+    """Each benchmark item beside the next one."""
+    return t.alias("a").join(t.alias("b"), F.col("b.item_id") == F.col("a.item_id") + 1).select(F.col("a.item_id").alias("id"), F.col("a.text").alias("x"), F.col("b.text").alias("y"))
+
+
+GRAMS = "list_transform(range(1, greatest(len({x}) - {k}, 0) + 1), lambda i: array_to_string({x}[i:i + {k}], chr(31)))"
+SIMILARITY = " + ".join(f"coalesce(len(list_intersect({GRAMS.format(x='x', k=k)}, {GRAMS.format(x='y', k=k)})) / nullif(len(list_distinct({GRAMS.format(x='x', k=k)} || {GRAMS.format(x='y', k=k)})), 0), 0)" for k in range(3))
+add("txt_ngram_jaccard", _on("benchmark", lambda t: _neighbours(t).select("id", F.round(fn.ngram_jaccard_similarity(F.col("x"), F.col("y")), 6).alias("similarity"), F.round(fn.ngram_jaccard_distance(F.col("x"), F.col("y")), 6).alias("distance"))), rf"""
+WITH t AS (SELECT item_id AS id, {TOKENS} AS t FROM benchmark), p AS (SELECT a.id, a.t AS x, b.t AS y FROM t a JOIN t b ON b.id = a.id + 1), s AS (SELECT id, ({SIMILARITY}) / 3 AS s FROM p)
+SELECT id, round(s, 6) AS similarity, round(1 - s, 6) AS distance FROM s""")
+add("txt_diversity", _on("benchmark", lambda t: text.diversity_text(t, id_col="item_id")), rf"""
+WITH t AS (SELECT {TOKENS} AS t FROM benchmark), p AS (SELECT a.t AS x, b.t AS y FROM t a, t b) SELECT round(avg(1 - ({SIMILARITY}) / 3), 6) AS diversity FROM p""")
+add("txt_difflib", _on("benchmark", lambda t: _neighbours(t).select("id", fn.difflib_character_similarity("x", "y").alias("characters"), fn.difflib_token_similarity(F.col("x"), F.col("y")).alias("tokens"))))
+
+# Signals: the values of a user's events in time order ---------------------------------------------------------------
+_samples = lambda t: t.select(F.col("user_id").alias("id"), F.struct("ts", "event_id").alias("t"), (F.col("value") - 50).alias("y"))
+SIGNAL = "y AS (SELECT user_id AS id, ts, event_id, value - 50 AS y FROM events), s AS (SELECT id, round({}, 6) AS score FROM y GROUP BY id) "
+for _name, _score, _sql in (
+    ("mean_amplitude", audio.mean_amplitude, "avg(abs(y))"),
+    ("rms_energy", audio.rms_energy, "sqrt(avg(y * y))"),
+    ("dynamic_range", audio.dynamic_range, "max(abs(y)) - min(abs(y))"),
+    ("peak_to_average", audio.peak_to_average_ratio, "coalesce(max(abs(y)) / nullif(avg(abs(y)), 0.0), 0.0)"),
+):
+    add(f"sig_{_name}", _on("events", lambda t, f=_score: f(_samples(t))), "WITH " + SIGNAL.format(_sql) + ranked("s"))
+add("sig_zero_crossings", _on("events", lambda t: audio.zero_crossings(_samples(t))),
+    f"WITH y AS (SELECT user_id AS id, CASE WHEN (value - 50 < 0) <> lag(value - 50 < 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS x FROM events), s AS (SELECT id, round(sum(x) / count(*), 6) AS score FROM y GROUP BY id) {ranked('s')}")
+for _name in audio.SPECTRAL:
+    add(f"aud_{_name}", lambda spark, d, n=_name: audio.spectral(generators.sound_table(spark), n))
+
+# Images: pixels by formula, and the named fixtures ------------------------------------------------------------------
+PIXELS = "x AS (SELECT r.i // 2500 AS id, r.i % 50 AS x, r.i // 50 % 50 AS y FROM range(50000) r(i)), p AS (SELECT id, (x * 5 + id * 7) % 256 AS r, (y * 5 + id * id) % 256 AS g, (x * y + id) % 256 AS b FROM x)"
+
+
+def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = spark.range(50000).select(F.floor(F.col("id") / 2500).alias("id"), (F.col("id") % 50).alias("x"), (F.floor(F.col("id") / 50) % 50).alias("y"))
+    return at.select("id", ((F.col("x") * 5 + F.col("id") * 7) % 256).alias("r"), ((F.col("y") * 5 + F.col("id") * F.col("id")) % 256).alias("g"), ((F.col("x") * F.col("y") + F.col("id")) % 256).alias("b"))
+
+
+GRAY = "floor((r * 299 + g * 587 + b * 114) / 1000)"
+for _name, _score, _sql in (
+    ("brightness", image.mean_brightness, f"avg({GRAY})"),
+    ("contrast", image.contrast, f"stddev_pop({GRAY})"),
+    ("color_variance", image.color_variance, "avg((pow(r - (r + g + b) / 3, 2) + pow(g - (r + g + b) / 3, 2) + pow(b - (r + g + b) / 3, 2)) / 3)"),
+):
+    add(f"img_{_name}", lambda spark, d, f=_score: f(_pixels(spark, d)), f"WITH {PIXELS}, s AS (SELECT id, round({_sql}, 6) AS score FROM p GROUP BY id) {ranked('s')}")
+for _name, _score in (("frequency", image.frequency_content), ("dominant_color", image.dominant_color), ("zlib_ratio", image.zlib_ratio)):
+    add(f"img_{_name}", lambda spark, d, f=_score: f(generators.image_table(spark)))
+
+# Generated points and splits -----------------------------------------------------------------------------------------
+for _name, _make in generators.DISTRIBUTIONS.items():
+    add(f"gen_{_name}", lambda spark, d, f=_make: f(spark))
