@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +62,6 @@ def readability_score(df: DataFrame, metric: str = "flesch_kincaid", text_col: s
 
 def perplexity_score(df: DataFrame, loss, text_col: str = "text", id_col: str = "id", low_first: bool = True) -> DataFrame:
     """exp(mean token loss) of an injected model: ``loss`` maps a text to its token losses; under two tokens, infinity."""
-    import math
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def perplexity(texts: pd.Series) -> pd.Series:
         out = []
@@ -91,8 +91,6 @@ def diversity_text(df: DataFrame, text_col: str = "text", id_col: str = "id", n:
 
     Rows are hashed to blocks, and each pair of blocks is one task that returns a sum, so pairs are never rows.
     """
-    import pyarrow as pa
-
     rows = df.select(fn.simple_tokenizer(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
     blocks = max(1, -(-df.count() // block_rows))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
