@@ -23,19 +23,39 @@ END = np.uint64(0x656E64)  # hash of the end token; words have mixed hashes
 START = np.uint64(1 << 62)  # id of the history of a first token
 CUT = 5  # counts above it aren't discounted
 TYPES = (np.uint8, np.uint16, np.uint32, np.uint64)
+ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def squeeze(raw: bytes) -> bytes:
+    """zstd, with the length before it."""
+    return len(raw).to_bytes(8, "little") + ZSTD.compress(raw, asbytes=True)
+
+
+def expand(b: bytes) -> bytes:
+    return ZSTD.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), asbytes=True) if len(b) > 8 else b""
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Unsigned numbers in the narrowest type that holds them, named by the first byte."""
+    """Unsigned numbers in the narrowest type that holds them, byte by byte of their places, compressed."""
     top = int(x.max()) if len(x) else 0
     for t, kind in enumerate(TYPES):
         if top <= np.iinfo(kind).max:
-            return bytes([t]) + x.astype(kind).tobytes()
+            return bytes([t]) + squeeze(x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes())
     raise OverflowError(top)
 
 
 def unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, TYPES[b[0]], offset=1).astype(np.uint64)
+    kind = np.dtype(TYPES[b[0]])
+    planes = np.frombuffer(expand(b[1:]), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.uint64)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b), dtype=np.uint64)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -81,13 +101,16 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, held, tokens: int) -> Da
         size = np.concatenate(sizes)
         hold = np.concatenate(held)
         words, at = np.unique(np.concatenate(seq), return_inverse=True)
+        rank = np.empty(len(words), np.int64)  # the sequence names frequent words by small numbers, which compress well
+        by = np.argsort(-np.bincount(at), kind="stable")
+        rank[by] = np.arange(len(words))
         counts = np.bincount(at[np.repeat(~hold, size)], minlength=len(words))
         whole = pa.concat_arrays(ids)
         lists = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
         blob = lambda x: pa.array([x], pa.binary())
         name = uuid.uuid4().int >> 66  # a table is written from these rows before anything reads them, so the name is fixed
-        columns = [pa.array([name], pa.int64()), lists, blob(np.packbits(hold).tobytes()), blob(pack(size)), blob(words.tobytes()), blob(pack(counts)), blob(pack(at)), pa.array([len(words)], pa.int64()), pa.array([len(at)], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "held", "sizes", "words", "counts", "seq", "n_words", "n_tokens"])
+        columns = [pa.array([name], pa.int64()), lists, blob(np.packbits(hold).tobytes()), blob(pack(size)), blob(pack_sorted(words)), blob(pack(counts)), blob(pack(rank[at])), blob(pack(by)), pa.array([len(words)], pa.int64()), pa.array([len(at)], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "held", "sizes", "words", "counts", "seq", "by", "n_words", "n_tokens"])
 
     def run(found):
         ids, hold, seq, sizes, n = [], [], [], [], 0
@@ -107,7 +130,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, held, tokens: int) -> Da
             yield flush(ids, hold, seq, sizes)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, held binary, sizes binary, words binary, counts binary, seq binary, n_words long, n_tokens long")
+    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, held binary, sizes binary, words binary, counts binary, seq binary, by binary, n_words long, n_tokens long")
 
 
 REPLY = "kind int, chunk long, range int, a binary, b binary"
@@ -126,14 +149,14 @@ def _word_counts(table: DataFrame, ranges: int) -> DataFrame:
     def split(found):
         for b in found:
             for k in range(b.num_rows):
-                words, counts = np.frombuffer(b.column(1)[k].as_buffer(), np.uint64), unpack(b.column(2)[k].as_py())
+                words, counts = unpack_sorted(b.column(1)[k].as_py()), unpack(b.column(2)[k].as_py())
                 cut = np.concatenate([[0], np.searchsorted(words, edges), [len(words)]])
                 some = [r for r in range(ranges) if cut[r] < cut[r + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([b.column(0)[k].as_py()] * len(some), pa.int64()), pa.array([words[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary()), pa.array([pack(counts[cut[r] : cut[r + 1]]) for r in some], pa.binary())], ["range", "chunk", "words", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([b.column(0)[k].as_py()] * len(some), pa.int64()), pa.array([pack_sorted(words[cut[r] : cut[r + 1]]) for r in some], pa.binary()), pa.array([pack(counts[cut[r] : cut[r + 1]]) for r in some], pa.binary())], ["range", "chunk", "words", "counts"])
 
     def count(t: pa.Table) -> pa.Table:
         r = t["range"][0].as_py()
-        words = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["words"]]
+        words = [unpack_sorted(x.as_py()) for x in t["words"]]
         u, at = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(at, np.concatenate([unpack(x.as_py()) for x in t["counts"]]).astype(float), len(u)).astype(np.int64)
         cut = np.cumsum([0, *map(len, words)])
@@ -153,7 +176,7 @@ class Chunk:
         self.c = np.concatenate([unpack(a) for _, a, _ in own])
         self.id = np.concatenate([unpack(b) for _, _, b in own])
         self.sizes = unpack(row["sizes"]).astype(np.int64)
-        self.seq = unpack(row["seq"]).astype(np.int64)
+        self.seq = unpack(row["by"]).astype(np.int64)[unpack(row["seq"]).astype(np.int64)]
         self.held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=len(self.sizes)).astype(bool)
         self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
         n = len(self.c)
@@ -257,7 +280,7 @@ def _answers(table: DataFrame, total: int, ranges: int, d: np.ndarray, unigrams:
                 value = log_probabilities(k, sums, cv, cw, n, d, unigrams)
                 at = unpack(row["c"]).astype(np.int64)
                 cut = np.concatenate([[0], np.cumsum(unpack(row["b"]).astype(np.int64))])
-                rows = [(1, int(c), row["range"], value[at[cut[i] : cut[i + 1]]].tobytes(), b"") for i, c in enumerate(np.frombuffer(row["a"], np.int64))]
+                rows = [(1, int(c), row["range"], squeeze(value[at[cut[i] : cut[i + 1]]].tobytes()), b"") for i, c in enumerate(np.frombuffer(row["a"], np.int64))]
                 yield from _reply(rows).to_batches()
 
     return table.where("kind = 0").mapInArrow(run, REPLY)
@@ -303,7 +326,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         had = _replies(right)
         c = Chunk(left.to_pylist()[0], had, total, ranges)
         value = np.empty(len(c.order))
-        value[c.order] = np.concatenate([np.frombuffer(a) for _, a in sorted((r, a) for kind, r, a, _ in had if kind == 1)])
+        value[c.order] = np.concatenate([np.frombuffer(expand(a)) for _, a in sorted((r, a) for kind, r, a, _ in had if kind == 1)])
         known = c.c[c.seq]
         base = np.log10((known + np.uint64(1)).astype(float) / (total + distinct + 1.0))
         rows = len(c.sizes)
