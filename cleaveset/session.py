@@ -25,13 +25,25 @@ def local_session(cores: int | str = "*", app: str = "cleaveset", memory: str =
     )
 
 
+#: Arrow batches by bytes: texts of any length then take little memory beside the JVM heap.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "8m"
+#: Python workers return freed memory instead of keeping it for their next task.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers on this host import the package from where the driver imported it.
+    """Settings for the session's Python workers, each only where it isn't set already.
 
-    On a cluster the package is installed or passed with ``--py-files``; the extra path is then harmless.
+    Workers on this host import the package from where the driver imported it; on a cluster the package is installed or
+    passed with ``--py-files``, and the extra path is harmless.
     """
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
+    if not spark.sparkContext.getConf().contains(ARROW_BYTES):
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
     return spark
