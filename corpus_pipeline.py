@@ -10,30 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cleaveset.llm import decontaminate, langid, mixing, ngram_join, sharding
 from cleaveset.llm._store import Store
+from cleaveset.session import prepare
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language; texts without letters and of no clear language go."""
+    prepare(spark)
     return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by n-gram Jaccard similarity, the one of smallest id."""
+    prepare(spark)
     return ngram_join.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    prepare(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document appears as often as the mix takes it."""
+    prepare(spark)
     return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of every document of the mix."""
+    prepare(spark)
     return sharding.shard_documents(docs)
 
 
@@ -50,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = Store(spark)
+    store = Store(prepare(spark))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = store.keep(stage(spark, docs, sf_dir), name)
