@@ -78,7 +78,8 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_languag
         for b in found:
             t = b.column(2).to_pylist()
             ok = [k for k, x in enumerate(t) if has_letter(x)]
-            yield pa.RecordBatch.from_arrays([b.column(1).take(ok).cast(pa.string()), b.column(3).take(ok).cast(pa.int32()), pa.array(_bits([t[k] for k in ok]), pa.binary())], ["lang", "rank", "bits"])
+            rows = pa.array(ok, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(rows).cast(pa.string()), b.column(3).take(rows).cast(pa.int32()), pa.array(_bits([t[k] for k in ok]), pa.binary())], ["lang", "rank", "bits"])
 
     rows = sample.select("i", "lang", "t", "_rank").mapInArrow(pack, "lang string, rank int, bits binary").collect()  # BUCKETS / 8 bytes a row
     rows.sort(key=lambda r: (r.lang, r.rank, bytes(r.bits)))
