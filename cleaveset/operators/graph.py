@@ -19,7 +19,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     The lineage of a round is cut by a checkpoint in the shared folder.
     """
     spark = nodes.sparkSession
-    _checkpoints(spark)
+    ensure_checkpoints(spark)
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     while True:
         both = now.union(now.select("v", "u"))
@@ -35,7 +35,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("v")), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
-def _checkpoints(spark) -> None:
+def ensure_checkpoints(spark) -> None:
     """Checkpoints go where spark.checkpoint.dir says; only a local session without it gets a folder of its own."""
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)

@@ -5,15 +5,17 @@ Every query runs over its whole tables. Scores are rounded before they are ranke
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleaveset.functions import text as fn
-from cleaveset.operators import audio, cluster, embedding, image, metrics, pairwise, splits, tabular, text
+from cleaveset.operators import audio, cluster, embedding, graph, image, metrics, pairwise, splits, tabular, text
 from cleaveset.operators.ranking import cut_by_ratio, rank_by, train_size
 from cleaveset.sources import generators
+from cleaveset.streaming import scorers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -291,3 +293,18 @@ for _name, _score in (("frequency", image.frequency_content), ("dominant_color",
 # Generated points and splits -----------------------------------------------------------------------------------------
 for _name, _make in generators.DISTRIBUTIONS.items():
     add(f"gen_{_name}", lambda spark, d, f=_make: f(spark))
+
+
+# Streams --------------------------------------------------------------------------------------------------------------
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row scores of the events table read as a stream, all that is there, into a table in the shared folder."""
+    graph.ensure_checkpoints(spark)
+    out = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    schema = _table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    scored = scorers.row_score(stream, F.round(F.abs("value"), 6), "event_id")
+    scored.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+add("stream_row_scores", _stream, "SELECT event_id AS id, round(abs(value), 6) AS score FROM events")
