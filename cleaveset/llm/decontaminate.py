@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cleaveset.llm._words import batches
 
@@ -317,6 +318,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     indexes = build(docs, benchmark, id_col, text_col, item_col, item_text, **parameters)
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
 
     def run(found):
         for b in found:
@@ -330,7 +332,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         values.append(v)
             cosine, share, answer = (pa.array([v[j] for v in values], pa.float64()) for j in range(3))
             verdict = pa.array(["verbatim" if v[1] >= 1.0 else "near" if v[1] >= index.verbatim else "paraphrase" for v in values], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(items), cosine, share, answer, verdict], ["doc_id", "item_id", "cosine", "lcs", "answer", "verdict"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(items, item_type), cosine, share, answer, verdict], ["doc_id", "item_id", "cosine", "lcs", "answer", "verdict"])
 
     schema = f"doc_id {kind}, item_id {item_kind}, cosine double, lcs double, answer double, verdict string"
     if not indexes:

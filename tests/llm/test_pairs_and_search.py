@@ -186,3 +186,15 @@ def test_leaks_awkward(spark):
     assert sorted(r.doc_id for r in rows) == [1, 2, 2, 7] and {r.item_id for r in rows} == {1}
     assert decontaminate.find_leaks(empty(spark), bench).collect() == []
     assert decontaminate.find_leaks(awkward(spark), bench.limit(0)).collect() == []
+
+
+def test_leaks_in_later_batches(spark):
+    bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog")], "item_id long, text string")
+    rows = [(i, "nothing of the kind is in this text" if i < 5 else "see the quick brown fox jumps over the lazy dog") for i in range(8)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), bench).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r.doc_id for r in found) == [5, 6, 7]
