@@ -89,6 +89,16 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def contexts(text: str):
+    """Matches of CONTEXT, overlapping ones too; one whose value is itself a context with a value gives way to it."""
+    m = CONTEXT.search(text)
+    while m:
+        inner = CONTEXT.search(text, m.start(1))
+        if not inner or inner.start() > m.start(1):
+            yield m
+        m = inner
+
+
 def spans_of(text: str, least: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base and added spans as (start, kind, end), in that order."""
     base = []
@@ -102,8 +112,10 @@ def spans_of(text: str, least: float) -> tuple[list[tuple[int, int, int]], list[
     base.sort()
     added = []
     if cues:
-        for m in CONTEXT.finditer(text):
+        for m in contexts(text):
             a, b = m.span(1)
+            if added and b <= added[-1][2]:
+                continue
             if not any(s < b and a < e for s, _, e in base) and any(not c.isalpha() for c in m[1].rstrip(".!?:)")) and guess_cost(m[1]) >= least:
                 added.append((a, 3, b))
     return base, added
@@ -114,7 +126,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Base spans are whole matches of the fixed patterns. The method adds spans of kind ``guess``: values in a wider
     credential context, with a character that isn't a letter, whose cheapest segmentation needs at least
-    10**least_guesses guesses and that meet no base span. Offsets are in code points, ends exclusive.
+    10**least_guesses guesses and that meet no base span. Contexts may overlap: in "secret token: x" the value is x, and a
+    value within a reported one isn't reported again. Offsets are in code points, ends exclusive.
 
     Null text is an empty one: zero counts, digest of the empty string, no spans. Rows are judged one by one, so repeated
     rows repeat their result. An empty table gives an empty result. Other columns of ``docs`` are ignored.

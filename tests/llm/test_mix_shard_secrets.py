@@ -129,3 +129,9 @@ def test_guess_costs(spark):
     n = {r.doc_id: r.n_guess for r in secrets.scan_secrets(df).collect()}
     assert n == {1: 1, 2: 0, 3: 0}
     assert len(secrets.scan_secrets(awkward(spark)).collect()) == 13 and secrets.scan_secrets(empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("text", ["the secret token: Xy7!kk#2pQ$z", "secret password = Zq8!vR#2kL$", "our secret passphrase: Zq8!vR#2kL$", "bearer token: Zq8!vR#2kL$x", "secret secret token token: Zq8!vR#2kL$x", "pwd=token:Zq8!vR#2kL$"])
+def test_value_after_two_context_words(text):
+    start = max(text.rfind(" "), text.rfind(":")) + 1
+    assert secrets.spans_of(text, 9.0) == ([], [(start, 3, len(text))])
