@@ -14,8 +14,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs, as [0-9a-f]+ of 32 and more
 KINDS = ("assign", "access", "hex", "guess")
-#: Contexts of the added kind: more names, more separators, and values of any characters but white space and quotes.
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credential|private[_-]?key|auth[_-]?key|access[_-]?key|bearer)(?:["']?\x20*(?::=|=>|[:=])\x20*|\x20+)["']?([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII)
+#: Contexts of the added kind: more names, more separators, and values of any characters: quoted ones to their own quote, others to white space or markup.
+CONTEXT = re.compile(
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credential|private[_-]?key|auth[_-]?key|access[_-]?key|bearer)"""
+    r"""(?:(?P<sign>["']?\x20*(?::=|=>|[:=])\x20*)|\x20+)(?:"(?P<double>(?:[^"\\\n]|\\.){6,})"|'(?P<single>(?:[^'\\\n]|\\.){6,})'|["']?(?P<bare>(?:(?!</?[a-z!])\S){6,}))""",
+    re.IGNORECASE | re.ASCII,
+)
+#: What may stand between a bare value and the next context, and after a bare value without being part of it.
+BETWEEN = ",;&|<>(){}[]\"'"
+AFTER = ",;<>\"'"
+PROSE = re.compile(r"(?:[^\W\d_]?[^\W\d_A-Z]*|[A-Z]+)(?:\s+(?:[^\W\d_]?[^\W\d_A-Z]*|[A-Z]+))*")
 CUES = ("pass", "pwd", "secret", "token", "key", "credential", "bearer")
 
 WORDS = (
@@ -90,12 +98,26 @@ def guess_cost(value: str) -> float:
 
 
 def contexts(text: str):
-    """Matches of CONTEXT, overlapping ones too; one whose value is itself a context with a value gives way to it."""
+    """(start, end, whether a sign separates) of the values of CONTEXT, overlapping ones too.
+
+    A value that is itself a context with a value gives way to it. A bare value ends before a further context behind
+    punctuation, and at the quote that stands before its own context.
+    """
     m = CONTEXT.search(text)
     while m:
-        inner = CONTEXT.search(text, m.start(1))
-        if not inner or inner.start() > m.start(1):
-            yield m
+        kind = m.lastgroup
+        a, b = m.span(kind)
+        inner = CONTEXT.search(text, a)
+        if not inner or inner.start() > a:
+            if kind == "bare":
+                if inner and inner.start() < b and text[inner.start() - 1] in BETWEEN:
+                    b = inner.start()
+                before = text[m.start() - 1 : m.start()]
+                if before and before in "\"'" and (end := text.find(before, a, b)) >= 0:
+                    b = end
+                b = a + len(text[a:b].rstrip(AFTER))
+            if b - a >= 6:
+                yield a, b, m["sign"] is not None
         m = inner
 
 
@@ -112,11 +134,13 @@ def spans_of(text: str, least: float) -> tuple[list[tuple[int, int, int]], list[
     base.sort()
     added = []
     if cues:
-        for m in contexts(text):
-            a, b = m.span(1)
-            if added and b <= added[-1][2]:
+        for a, b, sign in contexts(text):
+            b = next((s for s, k, _ in base if k == 0 and a < s < b), b)  # a further assignment
+            value = text[a:b].rstrip(AFTER)
+            b = a + len(value)
+            if len(value) < 6 or added and b <= added[-1][2] or any(s < b and a < e for s, _, e in base):
                 continue
-            if not any(s < b and a < e for s, _, e in base) and any(not c.isalpha() for c in m[1].rstrip(".!?:)")) and guess_cost(m[1]) >= least:
+            if (sign or not PROSE.fullmatch(value.rstrip(".!?:)"))) and guess_cost(value) >= least:
                 added.append((a, 3, b))
     return base, added
 
@@ -125,8 +149,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Secrets of every whole text: counts of the base kinds, digest of the base spans and all spans.
 
     Base spans are whole matches of the fixed patterns. The method adds spans of kind ``guess``: values in a wider
-    credential context, with a character that isn't a letter, whose cheapest segmentation needs at least
-    10**least_guesses guesses and that meet no base span. Contexts may overlap: in "secret token: x" the value is x, and a
+    credential context whose cheapest segmentation needs at least 10**least_guesses guesses and that meet no base span.
+    Only where nothing but white space separates, values like ordinary words (letters in lower case, capitalised or in
+    capitals throughout) are left out. Contexts may overlap: in "secret token: x" the value is x, and a
     value within a reported one isn't reported again. Offsets are in code points, ends exclusive.
 
     Null text is an empty one: zero counts, digest of the empty string, no spans. Rows are judged one by one, so repeated

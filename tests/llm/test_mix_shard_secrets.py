@@ -135,3 +135,22 @@ def test_guess_costs(spark):
 def test_value_after_two_context_words(text):
     start = max(text.rfind(" "), text.rfind(":")) + 1
     assert secrets.spans_of(text, 9.0) == ([], [(start, 3, len(text))])
+
+
+LETTERS = [("pwd=", "KqZwXvJtHbNm", ""), ("passphrase: ", "kqzwxvjthbnm", "."), ("bearer ", "KqZwXvJtHbNmPlRsDfGh", " x")]
+ENDS = [("password=", "hunter!2#Zq,9x", ""), ("pwd=", "Zq8;vR<#2>kL$", ", next"), ('pwd="', "Zq8!, vR'#2", '" x'), ("secret: '", 'a"9;!vR#2 kL$', "'"), ('("pwd=', "Zq8!vR,#2kL$", '","x")'), ("<b>pwd: ", "Zq8!vR,#2kL$", "</b>")]
+
+
+@pytest.mark.parametrize("before,value,after", LETTERS + ENDS)
+def test_whole_values(before, value, after):
+    base, added = secrets.spans_of(before + value + after, 9.0)
+    text = before + value + after
+    assert base == [] and [text[a:b].rstrip(".") for a, _, b in added] == [value]
+
+
+def test_values_side_by_side():
+    text = "pwd=Zq8!vR#2kL$,token=abcdefgh1;passphrase=Xy7!kk#2pQ$z,bearer:Kq!8$kLpZv"
+    base, added = secrets.spans_of(text, 9.0)
+    assert [text[a:b] for a, _, b in base + added] == ["token=abcdefgh1", "Zq8!vR#2kL$", "Xy7!kk#2pQ$z", "Kq!8$kLpZv"]
+    for text in ("the token classification", "bearer Certificates", 'secret "love of money"', "pwd: password", "pwd = 'abc' or 'defghi'"):
+        assert secrets.spans_of(text, 9.0) == ([], [])
