@@ -1,7 +1,8 @@
-"""Sequential search kernels. A kernel runs on one bounded group of rows; large tables become many groups at once.
+"""Sequential search kernels.
 
-Rows are hashed to groups of at most about ``group_rows``; each group is split on its own to the same ratio, so the whole
-is matched as its groups are. A table below that size is one group, which is the plain algorithm.
+Hill climbs run on bounded groups of rows: rows are hashed to groups of at most about ``group_rows``; each group is split
+on its own to the same ratio, so the whole is matched as its groups are. A table below that size is one group, which is
+the plain algorithm. Splits by neighbours count them over all rows by blocks, whatever the size; only their scan is one task.
 """
 
 from __future__ import annotations
@@ -10,12 +11,17 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleaveset.operators.pairwise import distances
+from cleaveset.operators.graph import ensure_checkpoints
+from cleaveset.operators.pairwise import BLOCK_ROWS, TILE, block_pairs, distances, matrix, nearest, pair_quantile
 
 GROUP_ROWS = 4096
+#: Rows whose distances to one row are taken at a time.
+ROWS = 65536
 
 
 def run_groups(df: DataFrame, kernel, ratio: float, seed: int, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -198,44 +204,46 @@ class Discrepancy(Climb):
         return float(self.values[0] @ self.values[1])
 
 
-def all_distances(x: np.ndarray, metric: str) -> np.ndarray:
-    return np.vstack([distances(x[a : a + 512], x, metric) for a in range(0, len(x), 512)])
+def in_order(df: DataFrame, ratio: float, seed: int) -> DataFrame:
+    """(id, pos, train): position by id and the seeded start of all rows, found in one task that holds ids only."""
+    kind = df.schema["id"].dataType.simpleString()
 
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        train = np.zeros(t.num_rows, bool)
+        train[seeded(t["id"], seed)[: int(t.num_rows * ratio)]] = True
+        return pa.table({"id": t["id"], "pos": np.arange(t.num_rows), "train": train})
 
-def neighbor_coverage(k: int, metric: str):
-    """Test rows with fewer than k train rows within the median distance swap with the most redundant train row."""
+    return df.select("id", F.lit(0).alias("_g")).groupBy("_g").applyInArrow(run, f"id {kind}, pos long, train boolean")
 
-    def kernel(x, train, rng, order):
-        d = all_distances(x, metric)
-        off = ~np.eye(len(x), dtype=bool)
-        near = (d <= np.median(d[off])) & off
-        train = train.copy()
-        for j in np.flatnonzero(~train):
-            if train[j] or near[j, train].sum() >= k:
-                continue
-            rows = np.flatnonzero(train)
-            redundant = near[np.ix_(rows, rows)].sum(1)
-            top = int(redundant.argmax())
-            if redundant[top] > k:
-                train[rows[top]], train[j] = False, True
-        return train
 
-    return kernel
+def seeded(ids, seed: int) -> np.ndarray:
+    keys = [hashlib.md5(f"{i}:{seed}".encode()).hexdigest() for i in ids.to_pylist()]
+    return np.array(sorted(range(len(keys)), key=keys.__getitem__), int)
 
 
-def nearest_neighbor(metric: str, ratio: float, pin: bool = False):
-    """In seeded order a row goes to test while its nearest neighbour is in train; ``pin`` keeps that neighbour there."""
+def side() -> Column:
+    return F.when(F.col("train"), "train").otherwise("test").alias("split")
 
-    def kernel(x, train, rng, order):
-        d = all_distances(x, metric)
-        np.fill_diagonal(d, np.inf)
-        nn = d.argmin(1)
-        out, pinned = np.ones(len(x), bool), np.zeros(len(x), bool)
-        need = len(x) - int(len(x) * ratio)
+
+def nearest_neighbor(df: DataFrame, metric: str, ratio: float, seed: int, pin: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """In seeded order a row goes to test while its nearest neighbour is in train; ``pin`` keeps that neighbour there.
+
+    Neighbours are those among all rows, found by blocks; the scan is one task that holds two ids a row.
+    """
+    kind = df.schema["id"].dataType.simpleString()
+    rows = df.select("id").join(nearest(df, k=1, metric=metric, block_rows=block_rows).select("id", "other"), "id", "left")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        order = seeded(t["id"], seed)
+        nn = pc.fill_null(pc.index_in(t["other"], value_set=t["id"].combine_chunks()), -1).to_numpy()
+        need = t.num_rows - int(t.num_rows * ratio)
+        out, pinned = np.ones(t.num_rows, bool), np.zeros(t.num_rows, bool)
         for i in order:
             if not need:
                 break
-            if out[nn[i]] and not pinned[i]:
+            if nn[i] >= 0 and out[nn[i]] and not pinned[i]:
                 out[i] = False
                 pinned[nn[i]] = pin
                 need -= 1
@@ -245,37 +253,92 @@ def nearest_neighbor(metric: str, ratio: float, pin: bool = False):
             if out[i] and not pinned[i]:
                 out[i] = False
                 need -= 1
-        return out
+        return pa.table({"id": t["id"], "train": out})
 
-    return kernel
+    return rows.withColumn("_g", F.lit(0)).groupBy("_g").applyInArrow(run, f"id {kind}, train boolean").select("id", side())
 
 
-def max_coverage(radius: float | None, metric: str):
-    """While it helps, the first uncovered test row swaps with the train row that raises coverage most."""
+def swap_covered(df: DataFrame, radius: float | None, metric: str, ratio: float, seed: int, least: int, scan, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, split) after ``scan(near, train, n, s) -> train`` over all rows, started from the seeded order.
 
-    def kernel(x, train, rng, order):
-        d = all_distances(x, metric)
-        off = ~np.eye(len(x), dtype=bool)
-        near = (d <= (np.median(d[off]) if radius is None else radius)).astype(np.int32)
-        np.fill_diagonal(near, 0)
-        train = train.copy()
-        for _ in range(2 * len(x)):
-            cover = near[:, train].sum(1)
-            test = ~train
-            open_ = np.flatnonzero(test & (cover == 0))
-            if not len(open_):
-                break
-            j, rows = open_[0], np.flatnonzero(train)
-            now = int((cover[test] > 0).sum())
-            # coverage of the other test rows and of the row that comes to test, for each row that could leave train
-            with_j = cover + near[:, j]
-            others = np.flatnonzero(test & (np.arange(len(x)) != j))
-            left = with_j[others, None] - near[np.ix_(others, rows)]
-            gain = (left > 0).sum(0) + (with_j[rows] > 0)
-            top = int(gain.argmax())
-            if gain[top] <= now:
-                break
-            train[rows[top]], train[j] = False, True
+    ``n`` has each row's other train rows within the radius (default: the median of all distances), ``s`` the sum of
+    their positions, both counted by blocks; ``near(i)`` is row i's neighbours. Only where a test row has fewer than
+    ``least`` does the scan run, in one task that holds all vectors: linear memory, and one row of distances at a time.
+    """
+    kind = df.schema["id"].dataType.simpleString()
+    radius = pair_quantile(df, 0.5, metric, block_rows=block_rows) if radius is None else radius
+    ensure_checkpoints(df.sparkSession)
+    start = in_order(df, ratio, seed).checkpoint()
+    if radius is None or start.agg(F.count_distinct("train")).first()[0] < 2:
+        return start.select("id", side())
+
+    def reduce(p: pa.Table, q: pa.Table) -> pa.Table:
+        n, s = np.zeros(p.num_rows, np.int64), np.zeros(p.num_rows, np.int64)
+        if p.num_rows and q.num_rows:
+            x, y, pos, own = matrix(p), matrix(q), q["pos"].to_numpy(), p["pos"].to_numpy()
+            for a in range(0, len(x), TILE):
+                close = (distances(x[a : a + TILE], y, metric) <= radius) & (own[a : a + TILE, None] != pos)
+                n[a : a + TILE], s[a : a + TILE] = close.sum(1), close @ pos
+        return pa.table({"pos": p["pos"], "n": n, "s": s})
+
+    rows = df.select("id", "e").join(start, "id")
+    found = block_pairs(rows.select("id", "e", "pos"), rows.where("train").select("id", "e", "pos"), reduce, "pos long, n long, s long", block_rows)
+    found = start.join(found.groupBy("pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "pos").checkpoint()
+    if not found.where(~F.col("train") & (F.col("n") < least)).limit(1).count():
+        return found.select("id", side())
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        x = matrix(t)
+
+        def near(i: int) -> np.ndarray:
+            close = np.concatenate([distances(x[i : i + 1], x[a : a + ROWS], metric)[0] <= radius for a in range(0, len(x), ROWS)])
+            close[i] = False
+            return close.astype(np.int64)
+
+        train = scan(near, t["train"].to_numpy().copy(), t["n"].to_numpy().copy(), t["s"].to_numpy().copy())
+        return pa.table({"id": t["id"], "train": train})
+
+    held = found.join(df.select("id", "e"), "id").withColumn("_g", F.lit(0))
+    return held.groupBy("_g").applyInArrow(run, f"id {kind}, train boolean").select("id", side())
+
+
+def neighbor_coverage(k: int):
+    """Test rows with fewer than k train rows within the radius swap with the most redundant train row."""
+
+    def scan(near, train, n, s):
+        for j in np.flatnonzero(~train):
+            if n[j] >= k:
+                continue
+            rows = np.flatnonzero(train)
+            top = rows[n[rows].argmax()]
+            if n[top] > k:
+                n += near(j) - near(top)
+                train[top], train[j] = False, True
         return train
 
-    return kernel
+    return scan
+
+
+def max_coverage(near, train, n, s):
+    """While it helps, the first uncovered test row that can swaps with the train row that raises coverage most."""
+    at = np.arange(len(train))
+    for _ in range(2 * len(train)):
+        test = ~train
+        now = int((n[test] > 0).sum())
+        for j in np.flatnonzero(test & (n == 0)):
+            # coverage of the other test rows and of the row that comes to test, for each row that could leave train
+            close = near(j)
+            with_j, others, rows = n + close, test & (at != j), np.flatnonzero(train)
+            alone = np.bincount(s[others & (n == 1) & (close == 0)], minlength=len(train))  # test rows that have only this one
+            gain = (with_j[others] > 0).sum() - alone[rows] + (with_j[rows] > 0)
+            top = rows[gain.argmax()]
+            if gain.max() > now:
+                gone = near(top)
+                n += close - gone
+                s += close * j - gone * top
+                train[top], train[j] = False, True
+                break
+        else:
+            break
+    return train

@@ -148,15 +148,15 @@ def mmd_minimized_split(df: DataFrame, train_ratio: float = 0.7, n_iterations: i
 
 
 def neighbor_coverage_split(df: DataFrame, train_ratio: float = 0.7, k: int = 5, metric: str = "euclidean", seed: int = 42) -> DataFrame:
-    return kernels.run_groups(df, kernels.neighbor_coverage(k, metric), train_ratio, seed)
+    return kernels.swap_covered(df, None, metric, train_ratio, seed, k, kernels.neighbor_coverage(k))
 
 
 def nearest_neighbor_split(df: DataFrame, train_ratio: float = 0.7, metric: str = "euclidean", seed: int = 42, pin: bool = False) -> DataFrame:
-    return kernels.run_groups(df, kernels.nearest_neighbor(metric, train_ratio, pin), train_ratio, seed)
+    return kernels.nearest_neighbor(df, metric, train_ratio, seed, pin)
 
 
 def max_coverage_split(df: DataFrame, train_ratio: float = 0.7, radius: float | None = None, metric: str = "euclidean", seed: int = 42) -> DataFrame:
-    return kernels.run_groups(df, kernels.max_coverage(radius, metric), train_ratio, seed)
+    return kernels.swap_covered(df, radius, metric, train_ratio, seed, 1, kernels.max_coverage)
 
 
 SPLITTERS = {

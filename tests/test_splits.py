@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -119,3 +121,66 @@ def test_groups_of_bounded_size(points):
     found = kernels.run_groups(points.select("id", "e"), kernels.Centroids(20), 0.7, 42, group_rows=30)
     train, test, n = sides(found)
     assert n == 120 and abs(len(train) - 84) <= 4
+
+
+def start_of(ids, seed=42, ratio=0.7):
+    order = sorted(range(len(ids)), key=lambda i: hashlib.md5(f"{ids[i]}:{seed}".encode()).hexdigest())
+    train = np.zeros(len(ids), bool)
+    train[order[: int(len(ids) * ratio)]] = True
+    return train
+
+
+def test_nearest_neighbours_are_those_of_all_rows(spark):
+    rng = np.random.RandomState(3)
+    x = rng.rand(2200, 2)
+    df = spark.createDataFrame([(i + 3000 * c, p.tolist()) for c in (0, 1) for i, p in enumerate(x)], "id long, e array<double>")
+    train, test, n = sides(splits.nearest_neighbor_split(df))
+    assert n == 4400 and len(train) == int(4400 * 0.7) and all((i + 3000 if i < 3000 else i - 3000) in train for i in test)
+
+
+def test_coverage_counts_all_rows(spark):
+    rng = np.random.RandomState(4)
+    x = np.round(rng.rand(2300, 2) * 1000, 1)  # pairs of near copies far from the others
+    e = np.concatenate([x, x + 0.01])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(e)], "id long, e array<double>")
+    train, test, n = sides(splits.max_coverage_split(df, radius=0.02))
+    assert n == 4600 and len(train) == int(4600 * 0.7) and all((i + 2300) % 4600 in train for i in test)
+    e = np.concatenate([rng.randn(4490, 1), rng.randn(10, 1) + 1000 * np.arange(1, 11)[:, None]])  # far from all: none within the median
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(e)], "id long, e array<double>")
+    train, test, n = sides(splits.neighbor_coverage_split(df))
+    assert n == 4500 and len(train) == int(4500 * 0.7) and set(range(4490, 4500)) <= train
+
+
+def test_coverage_by_brute_force(spark):
+    rng = np.random.RandomState(5)
+    x = np.concatenate([rng.randn(70, 2), rng.randn(20, 2) * 6])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "id long, e array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    off = ~np.eye(90, dtype=bool)
+    near, train = (d <= np.median(d[off])) & off, start_of(range(90))
+    for j in np.flatnonzero(~train):
+        if near[j, train].sum() < 25:
+            rows = np.flatnonzero(train)
+            redundant = near[np.ix_(rows, rows)].sum(1)
+            if redundant.max() > 25:
+                train[rows[redundant.argmax()]], train[j] = False, True
+    assert (train != start_of(range(90))).any()
+    found = kernels.swap_covered(df, None, "euclidean", 0.7, 42, 25, kernels.neighbor_coverage(25), block_rows=40)
+    assert sides(found)[0] == set(np.flatnonzero(train))
+    near, train = (d <= 0.8) & off, start_of(range(90))
+    covered = lambda t: near[np.ix_(~t, t)].any(1).sum()
+    better = True
+    while better:
+        better, now = False, covered(train)
+        for j in np.flatnonzero(~train & ~near[:, train].any(1)):
+            tries = []
+            for r in np.flatnonzero(train):
+                t = train.copy()
+                t[r], t[j] = False, True
+                tries.append((-covered(t), r))
+            if -min(tries)[0] > now:
+                train[min(tries)[1]], train[j], better = False, True, True
+                break
+    assert (train != start_of(range(90))).any()
+    found = kernels.swap_covered(df, 0.8, "euclidean", 0.7, 42, 1, kernels.max_coverage, block_rows=40)
+    assert sides(found)[0] == set(np.flatnonzero(train))
