@@ -6,12 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleaveset.functions.vectors import distance
 from cleaveset.operators import pairwise
-from cleaveset.operators.ranking import rank_by
+from cleaveset.operators.ranking import in_groups, quantiles, rank_by
+from cleaveset.store import Store
 
 DIGITS = 6
 
@@ -126,14 +127,14 @@ def knn_density(df: DataFrame, k: int = 10, metric: str = "euclidean") -> DataFr
 
 def percentile_bins(scored: DataFrame, n_bins: int) -> DataFrame:
     """Add ``bin``: how many of the inner exact percentile edges are at most the score."""
-    shares = [i / n_bins for i in range(1, n_bins)]
-    cuts = scored.agg(F.transform(F.percentile("score", F.array(*(F.lit(s) for s in shares))), lambda x: F.round(x, DIGITS)).alias("_edges"))
-    return scored.join(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("_edges", lambda x: x <= F.col("score")))).drop("_edges")
+    scored = Store(scored.sparkSession).keep(scored, "scored")
+    edges = [round(x, DIGITS) for x in quantiles(scored, F.col("score"), [i / n_bins for i in range(1, n_bins)]) if x is not None]
+    edges = F.array(*(F.lit(float(x)) for x in edges)) if edges else F.array().cast("array<double>")
+    return scored.withColumn("bin", F.size(F.filter(edges, lambda x: x <= F.col("score"))))
 
 
 def per_label_order(df: DataFrame, label: str) -> DataFrame:
     """(id, label, score, pos, n): distance to the own label's centroid and place within the label."""
     own = df.select("id", "e", F.col(label).alias("label"))
     scored = own.join(centroid(own, ("label",)), "label").select("id", "label", F.round(distance(F.col("e"), F.col("c")), DIGITS).alias("score"))
-    n = scored.groupBy("label").agg(F.count("*").alias("n"))
-    return scored.join(n, "label").withColumn("pos", F.row_number().over(Window.partitionBy("label").orderBy("score", "id")).cast("long"))
+    return in_groups(scored, "label", [(F.col("score"), True), (F.col("id"), True)]).select("row.*", F.col("at").alias("pos"), "n")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleaveset.operators.graph import ensure_checkpoints
-from cleaveset.operators.pairwise import BLOCK_ROWS, TILE, block_pairs, distances, matrix, nearest, pair_quantile
+from cleaveset.operators.pairwise import BLOCK_ROWS, TILE, block_pairs, close_by, distances, exact, matrix, nearest, pair_quantile
 
 GROUP_ROWS = 4096
 #: Rows whose distances to one row are taken at a time.
@@ -277,7 +277,8 @@ def swap_covered(df: DataFrame, radius: float | None, metric: str, ratio: float,
         if p.num_rows and q.num_rows:
             x, y, pos, own = matrix(p), matrix(q), q["pos"].to_numpy(), p["pos"].to_numpy()
             for a in range(0, len(x), TILE):
-                close = (distances(x[a : a + TILE], y, metric) <= radius) & (own[a : a + TILE, None] != pos)
+                at = np.arange(a, min(a + TILE, len(x)))
+                close = close_by(distances(x[at], y, metric), x, y, at, radius, metric) & (own[at, None] != pos)
                 n[a : a + TILE], s[a : a + TILE] = close.sum(1), close @ pos
         return pa.table({"pos": p["pos"], "n": n, "s": s})
 
@@ -292,7 +293,8 @@ def swap_covered(df: DataFrame, radius: float | None, metric: str, ratio: float,
         x = matrix(t)
 
         def near(i: int) -> np.ndarray:
-            close = np.concatenate([distances(x[i : i + 1], x[a : a + ROWS], metric)[0] <= radius for a in range(0, len(x), ROWS)])
+            parts = (x[a : a + ROWS] for a in range(0, len(x), ROWS))
+            close = np.concatenate([exact(np.broadcast_to(x[i], y.shape), y, metric) <= radius for y in parts])
             close[i] = False
             return close.astype(np.int64)
 

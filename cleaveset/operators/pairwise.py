@@ -1,12 +1,14 @@
 """Pairwise distances in blocks: rows are hashed to blocks and each pair of blocks is one task that reduces its pairs.
 
 Pairs never become rows unless they are asked for (radius edges). Memory of a task is bounded by two blocks; the work is
-quadratic, as the operators' definitions are.
+quadratic, as the operators' definitions are. Distances of a block come from matrix products; where a decision hangs on
+their rounding, the few pairs in question are computed again component by component.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,10 @@ from cleaveset.functions.vectors import METRICS
 
 BLOCK_ROWS = 2048
 TILE = 512
+#: Squared distances below this share of the squared lengths lose digits in matrix products and are computed again.
+SMALL = 1e-3
+#: Far above the relative rounding of the distances of a block.
+SLACK = 1e-9
 
 
 def matrix(table: pa.Table, name: str = "e") -> np.ndarray:
@@ -24,11 +30,11 @@ def matrix(table: pa.Table, name: str = "e") -> np.ndarray:
     return flat.reshape(table.num_rows, -1)
 
 
-def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """All distances of two small matrices, each summed from the first component to the last."""
-    out = np.zeros((len(a), len(b)))
+def exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of each row of ``a`` to the same row of ``b``, summed from the first component to the last."""
+    out, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for j in range(a.shape[1]):
-        x, y = a[:, j, None], b[None, :, j]
+        x, y = a[:, j], b[:, j]
         if metric in ("euclidean", "sqeuclidean"):
             out += (x - y) * (x - y)
         elif metric == "cityblock":
@@ -37,12 +43,38 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
             np.maximum(out, np.abs(x - y), out=out)
         elif metric == "cosine":
             out += x * y
+            aa += x * x
+            bb += y * y
         else:
             raise ValueError(f"Unknown metric: {metric}")
-    if metric == "euclidean":
-        return np.sqrt(out)
     if metric == "cosine":
-        return 1 - out / np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return 1 - out / (np.sqrt(aa) * np.sqrt(bb))
+    return np.sqrt(out) if metric == "euclidean" else out
+
+
+def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """All distances of two small matrices, to about 12 digits."""
+    if metric == "cosine":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return 1 - (a @ b.T) / np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1)))
+    if metric in ("euclidean", "sqeuclidean"):
+        size = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+        out = size - 2 * (a @ b.T)
+        i, j = np.nonzero(out < SMALL * size)
+        for k in range(0, len(i), 1 << 16):
+            u, v = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            out[u, v] = exact(a[u], b[v], "sqeuclidean")
+        return np.sqrt(out) if metric == "euclidean" else out
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        step = np.abs(a[:, j, None] - b[None, :, j])
+        if metric == "cityblock":
+            out += step
+        elif metric == "chebyshev":
+            np.maximum(out, step, out=out)
+        else:
+            raise ValueError(f"Unknown metric: {metric}")
     return out
 
 
@@ -67,56 +99,82 @@ def block_pairs(left: DataFrame, right: DataFrame, reduce, schema: str, block_ro
     return x.groupBy("_i", "_j").cogroup(y.groupBy("_i", "_j")).applyInArrow(run, schema)
 
 
+def numbers(p: pa.Table, q: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of two tables as whole numbers in the ids' order."""
+    if pa.types.is_integer(p.schema.field("id").type) and pa.types.is_integer(q.schema.field("id").type):
+        return np.array(p["id"].to_numpy(), np.int64), np.array(q["id"].to_numpy(), np.int64)
+    code, _ = pd.factorize(np.array(p["id"].to_pylist() + q["id"].to_pylist(), object), sort=True)
+    return code[: p.num_rows].astype(np.int64), code[p.num_rows :].astype(np.int64)
+
+
 def _tiles(p: pa.Table, q: pa.Table, metric: str):
-    """(left rows, right ids, distances, other: whether the ids differ) by tiles of the left block."""
+    """(rows of the left block, distances, ids differ) by tiles of the left block, with both matrices and id numbers."""
     if not p.num_rows or not q.num_rows:
         return
-    x, y, u, v = matrix(p), matrix(q), np.array(p["id"].to_pylist(), object), np.array(q["id"].to_pylist(), object)
+    x, y = matrix(p), matrix(q)
+    u, v = numbers(p, q)
     for a in range(0, len(x), TILE):
-        yield u[a : a + TILE], v, distances(x[a : a + TILE], y, metric), np.not_equal(u[a : a + TILE, None], v[None, :]).astype(bool)
+        at = np.arange(a, min(a + TILE, len(x)))
+        yield at, distances(x[at], y, metric), u[at, None] != v[None, :], x, y, u, v
 
 
 def nearest(left: DataFrame, right: DataFrame | None = None, k: int = 1, metric: str = "euclidean", digits: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, other, d, place): the k nearest rows of ``right`` (default: the other rows of ``left``), ties by id."""
+    """(id, other, d, place): the k nearest rows of ``right`` (default: the other rows of ``left``), ties by id.
+
+    Distances of a block choose all that may be among the k nearest once rounded; exact ones place them.
+    """
     if metric not in METRICS:
         raise ValueError(f"Unknown metric: {metric}")
     same = right is None
     right = left if right is None else right
     id_type, other_type = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
+    slack = 2 * 10.0**-digits if digits is not None else 0.0
 
     def reduce(p: pa.Table, q: pa.Table) -> pa.Table:
-        ids, others, ds = [], [], []
-        for u, v, d, other in _tiles(p, q, metric):
-            if digits is not None:
-                d = np.round(d, digits)
+        parts: list[list] = [[], [], []]
+        for at, d, other, x, y, _, v in _tiles(p, q, metric):
+            d = np.where(np.isfinite(d), d, np.inf)
             if same:
-                d = np.where(other, d, np.inf)
-            by_id = np.argsort(v, kind="stable")
-            order = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :k]]
-            for i in range(len(u)):
-                for j in order[i]:
-                    if np.isfinite(d[i, j]):
-                        ids.append(u[i])
-                        others.append(v[j])
-                        ds.append(d[i, j])
-        return pa.table({"id": pa.array(ids, p.schema.field("id").type), "other": pa.array(others, q.schema.field("id").type), "d": pa.array(ds, pa.float64())})
+                d[~other] = np.inf
+            m = min(k, d.shape[1])
+            last = np.partition(d, m - 1, axis=1)[:, m - 1]
+            i, j = np.nonzero((d <= (last + slack + SLACK * (1 + np.abs(last)))[:, None]) & np.isfinite(d))
+            e = np.concatenate([exact(x[at[i[s : s + 65536]]], y[j[s : s + 65536]], metric) for s in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
+            e = e if digits is None else np.round(e, digits)
+            order = np.lexsort((v[j], e, i))
+            i, j, e = i[order], j[order], e[order]
+            first = np.searchsorted(i, np.arange(len(at)))
+            keep = np.arange(len(i)) - first[i] < k
+            for out, z in zip(parts, (at[i[keep]], j[keep], e[keep])):
+                out.append(z)
+        i, j, e = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in parts)
+        return pa.table([p["id"].take(pa.array(i)), q["id"].take(pa.array(j)), pa.array(e, pa.float64())], ["id", "other", "d"])
 
     best = block_pairs(left, right, reduce, f"id {id_type}, other {other_type}, d double", block_rows)
     place = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
     return best.withColumn("place", place).where(F.col("place") <= k)
 
 
+def close_by(d: np.ndarray, x: np.ndarray, y: np.ndarray, at: np.ndarray, radius: float, metric: str, digits: int | None = None) -> np.ndarray:
+    """Which distances are at most the radius, those near it by their exact values."""
+    out = d <= radius
+    i, j = np.nonzero(np.abs(d - radius) <= (0.0 if digits is None else 2 * 10.0**-digits) + SLACK * (1 + abs(radius)))
+    for s in range(0, len(i), 65536):
+        u, v = i[s : s + 65536], j[s : s + 65536]
+        e = exact(x[at[u]], y[v], metric)
+        out[u, v] = (e if digits is None else np.round(e, digits)) <= radius
+    return out
+
+
 def within(left: DataFrame, radius: float, metric: str = "euclidean", digits: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, n): how many other rows are at most ``radius`` away."""
     kind = left.schema["id"].dataType.simpleString()
 
     def reduce(p: pa.Table, q: pa.Table) -> pa.Table:
-        ids, n = [], []
-        for u, _, d, other in _tiles(p, q, metric):
-            near = (d if digits is None else np.round(d, digits)) <= radius
-            ids += list(u)
-            n += (near & other).sum(1).tolist()
-        return pa.table({"id": pa.array(ids, p.schema.field("id").type), "n": pa.array(n, pa.int64())})
+        n = np.zeros(p.num_rows, np.int64)
+        for at, d, other, x, y, _, _ in _tiles(p, q, metric):
+            n[at] = (close_by(d, x, y, at, radius, metric, digits) & other).sum(1)
+        return pa.table([p["id"], pa.array(n, pa.int64())], ["id", "n"])
 
     return block_pairs(left, left, reduce, f"id {kind}, n long", block_rows).groupBy("id").agg(F.sum("n").alias("n"))
 
@@ -126,15 +184,13 @@ def edges(left: DataFrame, radius: float, metric: str = "euclidean", block_rows:
     kind = left.schema["id"].dataType.simpleString()
 
     def reduce(p: pa.Table, q: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        for u, v, d, _ in _tiles(p, q, metric):
-            i, j = np.nonzero(d <= radius)
-            keep = np.array([x < y for x, y in zip(u[i], v[j])], bool)
-            i, j = i[keep], j[keep]
-            for o, x in zip(out, (u[i], v[j], d[i, j])):
-                o += list(x)
-        kind_ = p.schema.field("id").type
-        return pa.table({"a": pa.array(out[0], kind_), "b": pa.array(out[1], kind_), "d": pa.array(out[2], pa.float64())})
+        parts: list[list] = [[], [], []]
+        for at, d, _, x, y, u, v in _tiles(p, q, metric):
+            i, j = np.nonzero(close_by(d, x, y, at, radius, metric, None) & (u[at, None] < v[None, :]))
+            for out, z in zip(parts, (at[i], j, exact(x[at[i]], y[j], metric))):
+                out.append(z)
+        i, j, e = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in parts)
+        return pa.table([p["id"].take(pa.array(i)), q["id"].take(pa.array(j)), pa.array(e, pa.float64())], ["a", "b", "d"])
 
     return block_pairs(left, left, reduce, f"a {kind}, b {kind}, d double", block_rows)
 
@@ -146,68 +202,76 @@ def pairwise_distances(df: DataFrame, metric: str = "euclidean", block_rows: int
     kind = df.schema["id"].dataType.simpleString()
 
     def reduce(p: pa.Table, q: pa.Table) -> pa.Table:
-        parts = [(np.repeat(u, len(v)), np.tile(v, len(u)), d.ravel()) for u, v, d, _ in _tiles(p, q, metric)]
-        join = lambda k: np.concatenate([x[k] for x in parts]) if parts else []
-        t = p.schema.field("id").type
-        return pa.table({"a": pa.array(list(join(0)), t), "b": pa.array(list(join(1)), t), "d": pa.array(join(2), pa.float64())})
+        ds = [d.ravel() for _, d, *_ in _tiles(p, q, metric)]
+        i, j = np.repeat(np.arange(p.num_rows), q.num_rows), np.tile(np.arange(q.num_rows), p.num_rows)
+        return pa.table([p["id"].take(pa.array(i)), q["id"].take(pa.array(j)), pa.array(np.concatenate(ds) if ds else [], pa.float64())], ["a", "b", "d"])
 
     return block_pairs(df, df, reduce, f"a {kind}, b {kind}, d double", block_rows)
 
 
-def pair_quantile(df: DataFrame, q: float, metric: str = "euclidean", positive: bool = False, least: float | None = None, transform=None, block_rows: int = BLOCK_ROWS, most: int = 500_000) -> float | None:
+def pair_quantile(df: DataFrame, q: float, metric: str = "euclidean", positive: bool = False, block_rows: int = BLOCK_ROWS, most: int = 500_000) -> float | None:
     """Exact linearly interpolated quantile of the distances of ordered pairs of different rows.
 
-    Histograms of all pairs narrow the range until few enough values are left to be sorted, so no pass holds them all.
-    ``positive`` leaves zero distances out; ``transform`` maps the distances first.
+    One pass counts all pairs in bins between 0 and the largest distance that two rows can have; further ones narrow the
+    bin of the quantile until few enough values are left to be sorted, so no pass holds them all. Only those that are
+    left are computed exactly. ``positive`` leaves zero distances out.
     """
-    bins = 4096
+    bins = 8192
 
     def values(p: pa.Table, t: pa.Table):
-        for _, _, d, other in _tiles(p, t, metric):
-            d = d[other]
-            d = d[d > 0] if positive else d
-            yield transform(d) if transform else d
-
-    def span(p: pa.Table, t: pa.Table) -> pa.Table:
-        got = [d for d in values(p, t) if len(d)]
-        return pa.table({"lo": pa.array([min(float(d.min()) for d in got)] if got else [], pa.float64()), "hi": pa.array([max(float(d.max()) for d in got)] if got else [], pa.float64()), "n": pa.array([sum(map(len, got))] if got else [], pa.int64())})
-
-    ends = block_pairs(df, df, span, "lo double, hi double, n long", block_rows).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).first()
-    if not ends.n:
-        return None
-    rank = q * (ends.n - 1)
-    lo, hi, below, inside = ends.lo, ends.hi, 0, ends.n
-    while inside > most and hi > lo:
-        grid = np.linspace(lo, hi, bins + 1)
-
-        def histogram(p: pa.Table, t: pa.Table, grid=grid, lo=lo, hi=hi) -> pa.Table:
-            total = np.zeros(bins, np.int64)
-            for d in values(p, t):
-                total += np.histogram(d[(d >= lo) & (d <= hi)], grid)[0]
-            at = np.flatnonzero(total)
-            return pa.table({"b": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
-
-        counts = np.zeros(bins, np.int64)
-        for r in block_pairs(df, df, histogram, "b long, n long", block_rows).groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most ``bins`` rows
+        for at, d, other, x, y, *_ in _tiles(p, t, metric):
+            yield np.where(other & (d > 0 if positive else np.isfinite(d)), d, np.nan), at, x, y
+
+    def histogram(p: pa.Table, t: pa.Table, grid: np.ndarray) -> pa.Table:
+        total = np.zeros(len(grid) + 1, np.int64)
+        for d, *_ in values(p, t):
+            total += np.bincount(np.searchsorted(grid, d[~np.isnan(d)], "right"), minlength=len(total))
+        found = np.flatnonzero(total)
+        return pa.table({"b": pa.array(found, pa.int64()), "n": pa.array(total[found], pa.int64())})
+
+    def collect(p: pa.Table, t: pa.Table, lo: float, hi: float) -> pa.Table:
+        parts = []
+        for d, at, x, y in values(p, t):
+            i, j = np.nonzero((d >= lo) & (d < hi))
+            parts += [exact(x[at[i[s : s + 65536]]], y[j[s : s + 65536]], metric) for s in range(0, len(i), 65536)]
+        found, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0), np.zeros(0, np.int64))
+        return pa.table({"v": pa.array(found, pa.float64()), "n": pa.array(n, pa.int64())})
+
+    lo, hi, below, rank = -np.inf, np.inf, 0, None
+    top = _reach(df, metric)
+    grid = np.linspace(0.0, top, bins + 1) if top > 0 else np.array([0.0])
+    while True:
+        found = block_pairs(df, df, lambda p, t, grid=grid: histogram(p, t, grid), "b long, n long", block_rows)
+        counts = np.zeros(len(grid) + 1, np.int64)
+        for r in found.groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most ``bins`` rows
             counts[r.b] = r.n
-        through = below + np.cumsum(counts)
+        if rank is None:
+            if not counts.sum():
+                return None
+            rank = q * (counts.sum() - 1)
+        through = np.cumsum(counts)  # all pairs below the grid are in the first bin
         first = int(np.searchsorted(through, np.floor(rank), "right"))
         last = int(np.searchsorted(through, np.ceil(rank), "right"))
-        narrowed = grid[first], grid[min(last, bins - 1) + 1]
-        if narrowed == (lo, hi):
+        ends = np.concatenate([[-np.inf], grid, [np.inf]])
+        narrowed = ends[first], ends[last + 1]
+        below, inside = int(through[first] - counts[first]), int(counts[first : last + 1].sum())
+        if inside <= most or narrowed == (lo, hi) or narrowed[1] - narrowed[0] <= 1e-12 * max(1.0, abs(narrowed[0])):
+            lo, hi = narrowed
             break
-        below, inside = int(through[first] - counts[first]), int(counts[first : min(last, bins - 1) + 1].sum())
         lo, hi = narrowed
-
-    def collect(p: pa.Table, t: pa.Table) -> pa.Table:
-        parts = [d[(d >= lo) & (d <= hi)] for d in values(p, t)]
-        found, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0), np.zeros(0, np.int64))
-        return pa.table({"v": pa.array(found, pa.float64()), "n": pa.array(n, pa.int64())})
-
-    rows = sorted(block_pairs(df, df, collect, "v double, n long", block_rows).groupBy("v").agg(F.sum("n").alias("n")).collect())  # values of the last bin
-    if len(rows) == 1:
-        return float(rows[0].v)
+        grid = np.linspace(max(lo, -1.0), min(hi, top * 2 + 1), bins + 1)
+    kept = block_pairs(df, df, lambda p, t: collect(p, t, lo, hi), "v double, n long", block_rows)
+    rows = sorted(kept.groupBy("v").agg(F.sum("n").alias("n")).collect())  # values of the last bin
     v, through = np.array([r.v for r in rows]), below + np.cumsum([r.n for r in rows])
-    a = v[min(int(np.searchsorted(through, np.floor(rank), "right")), len(v) - 1)]
-    b = v[min(int(np.searchsorted(through, np.ceil(rank), "right")), len(v) - 1)]
+    a, b = (v[min(int(np.searchsorted(through, f(rank), "right")), len(v) - 1)] for f in (np.floor, np.ceil))
     return float(a + (b - a) * (rank - np.floor(rank)))
+
+
+def _reach(df: DataFrame, metric: str) -> float:
+    """No two rows are further apart than this, but for rounding."""
+    if metric == "cosine":
+        return 2.0
+    one = F.aggregate("e", F.lit(0.0), lambda s, x: s + (F.abs(x) if metric == "cityblock" else x * x))
+    one = F.array_max(F.transform("e", F.abs)) if metric == "chebyshev" else F.sqrt(one) if metric in ("euclidean", "sqeuclidean") else one
+    most = 2 * (df.agg(F.max(one)).first()[0] or 0.0)
+    return float(most * most if metric == "sqeuclidean" else most)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cleaveset.functions.vectors import distance
 from cleaveset.operators import cluster as clusters
 from cleaveset.operators import embedding, graph, kernels, pairwise
-from cleaveset.operators.ranking import cut_by_ratio, cut_groups, fit_or_skip, rank_by, shuffle_key, train_size
+from cleaveset.operators.ranking import cut_by_ratio, cut_groups, fit_or_skip, in_groups, rank_by, shuffle_key, train_size
+from cleaveset.store import Store
 
 
 def by_score(scored: DataFrame, ratio: float = 0.7, low_first: bool = True) -> DataFrame:
@@ -24,11 +25,12 @@ def random_split(df: DataFrame, train_ratio: float = 0.7, seed: int = 42) -> Dat
 
 
 def _whole_clusters(named: DataFrame, train_ratio: float, order: list, sizes: DataFrame | None = None) -> DataFrame:
+    named = Store(named.sparkSession).keep(named.select("id", "cluster"), "named")
     sizes = named.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("first")) if sizes is None else sizes
     target = train_size(F.sum("n").over(Window.partitionBy(F.lit(0))), train_ratio)
     kept = sizes.withColumn("target", target).where("cluster >= 0")  # one row a cluster
     chosen = fit_or_skip(kept, "cluster", "n", order, F.col("target"))
-    return named.join(F.broadcast(chosen), "cluster", "left").select("id", F.coalesce("split", F.lit("test")).alias("split"))
+    return named.join(chosen, "cluster", "left").select("id", F.coalesce("split", F.lit("test")).alias("split"))
 
 
 def cluster_split(df: DataFrame, train_ratio: float = 0.7, method: str = "kmeans", n_clusters: int = 10, seed: int = 42, cluster: str | None = None, **kwargs) -> DataFrame:
@@ -105,9 +107,8 @@ def stratified_random_split(df: DataFrame, label: str, train_ratio: float = 0.7,
     quota = quota.withColumn("more", train_size(F.sum("n").over(everything), train_ratio) - F.sum("base").over(everything))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("rest").desc(), label))
     quota = quota.select(F.col(label).alias("_l"), (F.col("base") + F.when(place <= F.col("more"), 1).otherwise(0)).alias("k"))
-    keyed = df.select("id", F.col(label).alias("_l"), shuffle_key("id", seed).alias("_key")).join(F.broadcast(quota), "_l")
-    at = F.row_number().over(Window.partitionBy("_l").orderBy("_key", "id"))
-    return keyed.select("id", F.when(at <= F.col("k"), "train").otherwise("test").alias("split"))
+    order = in_groups(df.select("id", F.col(label).alias("label")), "label", [(shuffle_key("id", seed), True), (F.col("id"), True)])
+    return order.select("row.*", "at").join(quota, F.col("label") == F.col("_l")).select("id", F.when(F.col("at") <= F.col("k"), "train").otherwise("test").alias("split"))
 
 
 def stratified_similarity_split(df: DataFrame, train_ratio: float = 0.7, n_bins: int = 10, seed: int = 42) -> DataFrame:
