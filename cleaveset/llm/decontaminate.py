@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from cleaveset.llm._rows import filter_rows
 from cleaveset.llm._words import batches
 
 BLOCK = 16  # words
@@ -343,15 +344,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **parameters) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with their columns."""
     indexes = build(docs, benchmark, id_col, text_col, item_col, item_text, **parameters)
-    place = docs.columns.index(text_col)
 
-    def run(found):
-        for b in found:
-            keep = np.ones(b.num_rows, bool)
+    def judge():
+        def keep(column: pa.Array) -> pa.Array:
+            clean = np.ones(len(column), bool)
             for shared in indexes:
-                for a, _, h, bounds in batches(b.column(place)):
+                for a, _, h, bounds in batches(column):
                     for r, _ in shared.value.search(h, bounds):
-                        keep[a + r] = False
-            yield b.filter(pa.array(keep))
+                        clean[a + r] = False
+            return pa.array(clean)
+
+        return keep
 
-    return docs.mapInArrow(run, docs.schema) if indexes else docs
+    return filter_rows(docs, text_col, judge) if indexes else docs

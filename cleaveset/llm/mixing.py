@@ -99,10 +99,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42, rows_per_bucket: int = 50_000) -> DataFrame:
-    """The mix itself: each document as often as the mix takes it, with the columns of ``docs``."""
+    """The mix itself: each document as often as the mix takes it, with the columns of ``docs``, whatever their names.
+
+    The row at a source's cut is taken whole if over half of it is within the budget. Null, empty and wordless texts have
+    size 0 and go; a null source is a source of its own; repeated rows at the cut stay or go together; very long texts
+    are only counted; an empty table gives an empty one.
+    """
     store = Store(docs.sparkSession)
     rows = store.keep(docs.select(*sized(docs, seed=seed)), "rows")
-    cuts = plan_mix(rows, store, rows_per_bucket=rows_per_bucket).withColumnRenamed("source_size", "_source_size").withColumnRenamed("target", "_target")
-    own = docs.select(F.struct(*docs.columns).alias("_row"), *sized(docs, seed=seed))
-    times = with_taken(own, cuts, "document").withColumn("_times", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int"))
-    return times.where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_pass")).select("_row.*")
+    cuts = plan_mix(rows, store, rows_per_bucket=rows_per_bucket)
+    whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("whole")
+    own = docs.select(whole, *sized(docs, seed=seed))
+    times = with_taken(own, cuts, "document").withColumn("times", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int"))
+    return times.where("times > 0").select("whole", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("turn")).select("whole.*")

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cleaveset.llm._sample import hash_sample
+from cleaveset.llm._store import Store
 from cleaveset.llm._words import batches, text_bytes
 
 LABELLERS = ("length", "word_length", "symbols", "capitals", "repeated_words", "sentences", "markup", "digits", "common_words")
@@ -141,55 +143,68 @@ def train(rows: list[tuple[float, np.ndarray]], rounds: int = 12, rate: float =
 def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_side: int = PER_SIDE, least: float = 0.5) -> DataFrame:
     """Quality score of every whole text, learnt without labels.
 
-    Votes of all rows are counted by pattern (at most 3 ** 9 of them), EM estimates the labellers' accuracies from the
-    counts, and each pattern's posterior labels its rows. The linear scorer is trained on a bounded sample: at most
-    ``per_side`` rows of each side of the posterior, those with the smallest id hashes.
+    One pass over the texts stores each row's vote pattern and hashed features. The patterns of all rows are counted (at
+    most 3 ** 9 of them), EM estimates the labellers' accuracies from the counts, and each pattern's posterior labels its
+    rows. The linear scorer is trained on a bounded sample: at most ``per_side`` rows of each side of the posterior,
+    those with the smallest id hashes.
 
-    Returns doc_id, posterior (of the votes), score (of the linear scorer, 0..1), keep (score >= least). Null text is an
-    empty one, on which all labellers but length abstain. Rows with a null id are scored but don't train. Repeated rows
-    repeat their result; an empty table gives an empty result; other columns are ignored.
-    """
-    from cleaveset.llm.langid import hash_sample
+    Returns doc_id, posterior (of the votes), score (of the linear scorer, 0..1), keep (score >= least).
 
+    * Null text is an empty one, on which all labellers but length abstain. Rows with a null id are scored but don't train.
+    * Very long texts are read whole; their features are at most BUCKETS presences.
+    * Repeated rows repeat their result and are one row of the sample; rows of one id with different texts are ranked by
+      their features. A posterior of exactly a half counts as good.
+    * An empty table gives an empty result. Other columns are ignored, whatever their names.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def vote(found):
-        for b in found:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([code(votes(t or "")) for t in b.column(1).to_pylist()], pa.int32())], ["doc_id", "pattern"])
-
-    from cleaveset.llm._store import Store
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    voted = Store(spark).keep(rows.mapInArrow(vote, f"doc_id {kind}, pattern int"), "votes")
-    counts = sorted((r.pattern, r["count"]) for r in voted.groupBy("pattern").count().collect())  # at most 3 ** 9 rows
-    codes = np.array([c for c, _ in counts], np.int64)
-    post, accuracy, prior = expectation_maximisation(decode(codes), np.array([n for _, n in counts], float))
-    table = dict(zip(codes.tolist(), post.tolist()))
-    shared = spark.sparkContext.broadcast(table)
-    sides = spark.createDataFrame([(c, int(p >= 0.5), p) for c, p in table.items()], "pattern int, side int, y double")
-    chosen = hash_sample(voted.where(F.col("doc_id").isNotNull()).join(F.broadcast(sides), "pattern"), "doc_id", "side", per_side)  # at most 3 ** 9 patterns
-    sample = rows.join(F.broadcast(chosen.select("doc_id", "y").dropDuplicates(["doc_id"])), "doc_id")  # at most 2 * per_side ids
-
     def extract(found):
         for b in found:
             row, place = hashed(b.column(1))
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([place[cut[k] : cut[k + 1]].astype(np.uint16).tobytes() for k in range(b.num_rows)], pa.binary())], ["doc_id", "y", "f"])
+            pattern = pa.array([code(votes(t or "")) for t in b.column(1).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pattern, pa.array([packed(place[cut[k] : cut[k + 1]]) for k in range(b.num_rows)], pa.binary())], ["doc_id", "pattern", "f"])
 
-    data = sample.select("doc_id", "text", "y").mapInArrow(extract, f"doc_id {kind}, y double, f binary").collect()  # bounded by per_side and BUCKETS
-    data.sort(key=lambda r: (r.doc_id, bytes(r.f)))
-    w, bias = train([(r.y, np.frombuffer(bytes(r.f), np.uint16).astype(np.int64)) for r in data]) if data else (np.zeros(BUCKETS), 0.0)
-    scorer = spark.sparkContext.broadcast((w, bias))
+    kind = docs.schema[id_col].dataType.simpleString()
+    seen = Store(spark).keep(rows.mapInArrow(extract, f"doc_id {kind}, pattern int, f binary"), "features")
+    counts = sorted((r.pattern, r["count"]) for r in seen.groupBy("pattern").count().collect())  # at most 3 ** 9 rows
+    codes = np.array([c for c, _ in counts], np.int64)
+    post, _, _ = expectation_maximisation(decode(codes), np.array([n for _, n in counts], float))
+    table = dict(zip(codes.tolist(), post.tolist()))
+    sides = spark.createDataFrame([(c, int(p >= 0.5)) for c, p in table.items()], "pattern int, side int")
+    own = seen.where(F.col("doc_id").isNotNull()).join(F.broadcast(sides), "pattern")  # at most 3 ** 9 patterns
+    sample = hash_sample(own.select(F.col("doc_id").alias("i"), "side", F.struct("pattern", "f").alias("v")), "side", per_side, "v", F.md5("v.f"))
+    data = sample.select("side", "rank", "v.pattern", "v.f").collect()  # at most 2 * per_side rows of 2 * BUCKETS bytes
+    data.sort(key=lambda r: (r.side, r["rank"]))
+    w, bias = train([(table[r.pattern], unpacked(bytes(r.f))) for r in data]) if data else (np.zeros(BUCKETS), 0.0)
+    scorer = spark.sparkContext.broadcast((w, bias, table))
 
     def score(found):
-        w, bias = scorer.value
+        w, bias, table = scorer.value
         for b in found:
-            n = b.num_rows
-            row, place = hashed(b.column(1))
-            f = np.bincount(row, w[place], n) / np.sqrt(np.maximum(1, np.bincount(row, minlength=n))) + bias
-            s = 1 / (1 + np.exp(-np.clip(f, -50, 50)))
-            p = [shared.value.get(code(votes(t or "")), 0.5) for t in b.column(1).to_pylist()]
+            places = [unpacked(f) for f in b.column(2).to_pylist()]
+            s = linear(places, w, bias)
+            p = [table[c] for c in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array(s, pa.float64()), pa.array((s >= least).astype(np.int32))], ["doc_id", "posterior", "score", "keep"])
 
-    return rows.mapInArrow(score, f"doc_id {kind}, posterior double, score double, keep int")
+    return seen.mapInArrow(score, f"doc_id {kind}, posterior double, score double, keep int")
+
+
+def packed(places: np.ndarray) -> bytes:
+    """Sorted places below 2 ** 16 as their gaps, high and low bytes apart, which compress well."""
+    gap = np.diff(places, prepend=0).astype(np.uint16)
+    return gap.view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    halves = np.frombuffer(raw, np.uint8).reshape(2, -1)
+    return np.cumsum(halves[0].astype(np.int64) + 256 * halves[1].astype(np.int64))
+
+
+def linear(places: list[np.ndarray], w: np.ndarray, bias: float) -> np.ndarray:
+    """Probability of good for each row of presences, scaled to unit length."""
+    size = np.array([len(p) for p in places], np.int64)
+    row = np.repeat(np.arange(len(places)), size)
+    f = np.bincount(row, w[np.concatenate(places)] if len(places) else [], len(places)) / np.sqrt(np.maximum(1, size)) + bias
+    return 1 / (1 + np.exp(-np.clip(f, -50, 50)))

@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cleaveset.llm._sample import hash_sample
 from cleaveset.llm._trees import Boosted, isotonic
 from cleaveset.llm._words import slices, text_bytes
-from cleaveset.llm.langid import hash_sample
 
-#: Bound of the labelled sample for each label value.
-PER_LABEL = 5000
-LEXICON = 4000
+#: Bounds of the labelled sample for each label value, and of the learnt part of the lexicon.
+PER_LABEL, LEXICON = 5000, 4000
+#: What orders rows within a flat step of the calibration.
+STEP = 1e-6
 SEED = set("idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown clowns dumb fool ugly hate kill filth filthy vermin bastard crap imbecile idiota estúpido estupido basura asqueroso inútil payaso tonto imbécil dummkopf trottel abschaum ekelhaft erbärmlich wertlos hässlich imbécile stupide ordure minable dégoûtant crétin".split())
 YOU = set("you your yours yourself u ur ya tu tú te ti usted ustedes vos vosotros du dich dir dein deine ihr euch sie vous toi ton ta tes votre vos".split())
 LEET = str.maketrans("4@3!1|0$57", "aaeiiiosst")
@@ -92,8 +93,8 @@ def _near(i: int, you: list[int]) -> bool:
     return at < len(you) and you[at] <= i + 5
 
 
-def _lexicon(counts: list, t: float, n: float, least: int) -> dict[str, float]:
-    """Units much commoner in toxic than in other rows, with shrunken log odds; at most LEXICON of them."""
+def _lexicon(counts: list, t: float, n: float, least: int, most: int) -> dict[str, float]:
+    """Units much commoner in toxic than in other rows, with shrunken log odds; the ``most`` heaviest of them."""
     found = {}
     for unit, toxic, clean in counts:
         if toxic < least:
@@ -101,18 +102,23 @@ def _lexicon(counts: list, t: float, n: float, least: int) -> dict[str, float]:
         odds = math.log((toxic + 0.5) / (t + 1)) - math.log((clean + 0.5) / (n + 1))
         if odds > 2.0:
             found[unit] = odds * toxic / (toxic + 3.0)
-    best = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]
+    best = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most]
     return dict(best)
 
 
-def fit(rows: DataFrame, labels: DataFrame, per_label: int):
-    """(lexicon, trees, calibration knots); rows has (doc_id, text), labels (doc_id, toxic)."""
+def fit(rows: DataFrame, labels: DataFrame, per_label: int, lexicon: int = LEXICON):
+    """(lexicon, trees, calibration knots); rows has (doc_id, text), labels (doc_id, toxic).
+
+    The sample has one text an id, that of the smallest digest where rows repeat an id, so it is bounded by its ids.
+    """
     sc = rows.sparkSession.sparkContext
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     totals = dict(known.groupBy("toxic").count().collect())  # two rows
-    chosen = hash_sample(known, "doc_id", "toxic", per_label).select("doc_id", "toxic", "_rank")
-    sample = rows.join(F.broadcast(chosen), "doc_id").select((F.col("_rank") % 2).cast("int").alias("fold"), F.col("toxic").cast("int").alias("toxic"), "text")  # at most per_label of each label
+    ids = known.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("toxic"), F.lit(0).alias("v"))
+    chosen = hash_sample(ids, "toxic", per_label, "v", F.lit(0)).select(F.col("i").alias("doc_id"), "toxic", (F.col("rank") % 2).alias("fold"))
+    have = rows.withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(chosen), "doc_id")  # at most per_label of each label
+    sample = have.groupBy("doc_id", "fold", "toxic").agg(F.min_by("text", F.md5("text")).alias("text")).select(F.col("fold").cast("int").alias("fold"), "toxic", "text")
 
     def count(found):
         seen: dict = {}
@@ -138,15 +144,15 @@ def fit(rows: DataFrame, labels: DataFrame, per_label: int):
     total = totals.get(1, 0), totals.get(0, 0)
     ratio = min(total[0], per_label) / max(1, min(total[1], per_label))
     likely = counted.where((F.col("unit") == "") | ((F.col("t0") + F.col("t1") >= 3) & (odds > 2.0 * ratio)))
-    counts = likely.orderBy(F.col("unit") != "", (-(F.col("t0") + F.col("t1"))), "unit").limit(LEXICON * 20).collect()  # a top list of units, at most 20 for each entry
+    counts = likely.orderBy(F.col("unit") != "", (-(F.col("t0") + F.col("t1"))), "unit").limit(lexicon * 20).collect()  # a top list of units, at most 20 for each entry
     size = next(([r.c0, r.t0, r.c1, r.t1] for r in counts if r.unit == ""), [0, 0, 0, 0])
     if not (size[1] + size[3]) or not (size[0] + size[2]):
         return None
     own = [r for r in counts if r.unit]
     least = 3
-    whole = _lexicon([(r.unit, r.t0 + r.t1, r.c0 + r.c1) for r in own], size[1] + size[3], size[0] + size[2], least)
-    folds = [_lexicon([(r.unit, r.t1, r.c1) for r in own], size[3], size[2], least - 1), _lexicon([(r.unit, r.t0, r.c0) for r in own], size[1], size[0], least - 1)]
-    shared = sc.broadcast(folds)  # at most LEXICON entries each
+    whole = _lexicon([(r.unit, r.t0 + r.t1, r.c0 + r.c1) for r in own], size[1] + size[3], size[0] + size[2], least, lexicon)
+    folds = [_lexicon([(r.unit, r.t1, r.c1) for r in own], size[3], size[2], least - 1, lexicon), _lexicon([(r.unit, r.t0, r.c0) for r in own], size[1], size[0], least - 1, lexicon)]
+    shared = sc.broadcast(folds)  # at most ``lexicon`` entries each
 
     def featurise(found):
         memo = [Memo(x) for x in shared.value]
@@ -175,31 +181,38 @@ def fit(rows: DataFrame, labels: DataFrame, per_label: int):
     return whole, Boosted().fit(x, y, w), isotonic(out, y, w)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> DataFrame:
+def calibrated(odds: np.ndarray, knots: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The isotonic value of log odds, with the odds' order within its flat steps; the side of 0.5 stays."""
+    value = np.clip(np.interp(odds, *knots), 0.0, 1.0)
+    order = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return np.clip(STEP + (1 - 2 * STEP) * value + STEP * (order - (value < 0.5)), 0.0, 1.0)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL, lexicon: int = LEXICON) -> DataFrame:
     """Calibrated probability that a whole text is toxic.
 
     Trees are fitted on a bounded sample of labelled rows whose crc32(id as text) mod 5 isn't 0: at most ``per_label``
     of each label, those with the smallest hashes, weighted back to the labels' true shares. The learnt part of the
-    lexicon has words and word beginnings commoner in toxic rows; each half of the sample gets features from the other
-    half's lexicon, and the calibration is fitted on predictions across the halves.
-
-    Null and empty texts are scored as texts without words. Null ids and labels other than 0 and 1 aren't learnt from; a
-    row with a null id counts as not held out; several labels of one id count as toxic if one is. Without both labels to
-    learn from, the score is 0. Repeated rows repeat their result; an empty table gives an empty result; other columns
-    are ignored.
+    lexicon has at most ``lexicon`` words and word beginnings commoner in toxic rows of that sample; each half of it gets
+    features from the other half's lexicon, and the calibration is fitted on predictions across the halves. The score is
+    the isotonic value, moved by at most 2 * STEP to order rows within its flat steps, never across 0.5.
+
+    * Null and empty texts are scored as texts without words. Null ids and labels other than 0 and 1 aren't learnt from; a
+      row with a null id counts as not held out; several labels of one id count as toxic if one is.
+    * Very long texts are read whole, word by word. Repeated rows repeat their result; of the rows of one id, one is
+      learnt from. Equal features tie.
+    * Without both labels to learn from, the score is 0. An empty table gives an empty result. Other columns are ignored,
+      whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows, labels.select("doc_id", "toxic"), per_label))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows, labels.select("doc_id", "toxic"), per_label, lexicon))
 
     def predict(found):
         have = model.value
         memo = Memo(have[0]) if have else None
         for b in found:
             if have:
-                odds = have[1].predict(features(b.column(2), memo))
-                score = np.clip(np.interp(odds, *have[2]), 0.0, 1.0)
-                low, high = have[2][0][0], have[2][0][-1]  # beyond the knots and within flat steps the odds still order the scores
-                score = np.clip(score * 0.98 + 0.02 / (1 + np.exp(-np.clip(odds, low - 5, high + 5))), 0.0, 1.0)
+                score = calibrated(have[1].predict(features(b.column(2), memo)), have[2])
             else:
                 score = np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

@@ -55,7 +55,7 @@ def family(seed, n):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"range_bytes": 4000, "chunk_bytes": 20000, "broadcast_rows": 0, "on_driver": 0}])
+@pytest.mark.parametrize("options", [{}, {"range_bytes": 4000, "chunk_bytes": 20000, "broadcast_bytes": 0, "on_driver": 0}, {"range_bytes": 300, "chunk_bytes": 3000, "held_shingles": 500, "fan": 8}, {"bits": 3}])
 def test_jaccard_matches_brute_force(spark, options):
     texts = family(1, 40) + family(2, 25) + [f"only {i} here with its own few words {i * i}" for i in range(20)] + ["short one", "Short  ONE", "", None]
     rows = [(100 + i, t) for i, t in enumerate(texts)] + [(100, texts[0]), (None, texts[1]), (None, "nothing like it at all in here")]
