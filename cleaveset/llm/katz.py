@@ -1,10 +1,11 @@
-"""Katz backoff language model: Good-Turing discounted bigrams over discounted unigrams, exactly normalised.
+"""Katz backoff language model: Good-Turing discounted n-grams over discounted unigrams, exactly normalised.
 
 Texts become chunks: the distinct word hashes of some thousand documents, and the documents as positions among them.
-Chunks ask for the counts of their distinct words and bigrams, packed by hash range; a range's task adds the counts of
-all chunks, which makes it a partition of the model's tables, and answers each chunk in the order in which it asked.
-So what is exchanged follows the distinct n-grams of a chunk, and a word that is a third of all tokens is one entry a
-chunk. Bigrams of histories that would fill several ranges are spread over as many by their second word.
+Order by order, chunks ask for what they can't know alone, packed by hash range of the history, and a range's task adds
+the counts of all chunks and answers each one: the count of every n-gram asked for, and the sums that a history's backoff
+weight needs. A history whose training occurrences all lie in one chunk is settled there. What is exchanged follows the
+distinct n-grams of a chunk, and a word that is a third of all tokens is one entry a chunk. n-grams of histories that
+would fill several ranges are spread over as many by their last word; a chunk then adds the sums of all of them.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cleaveset.llm._exchange import PARTITIONS
 from cleaveset.llm._store import Store
 from cleaveset.llm._words import batches, mix
 
+ORDER = 3
 END = np.uint64(0x656E64)  # hash of the end token; words have mixed hashes
-START = np.uint64(1 << 62)  # id of the history of a first token
+START = np.uint64((1 << 32) - 1)  # key of the history of a first token
 CUT = 5  # counts above it aren't discounted
 TYPES = (np.uint8, np.uint16, np.uint32, np.uint64)
 ZSTD = pa.Codec("zstd", compression_level=1)
@@ -40,7 +43,7 @@ def pack(x: np.ndarray) -> bytes:
     top = int(x.max()) if len(x) else 0
     for t, kind in enumerate(TYPES):
         if top <= np.iinfo(kind).max:
-            return bytes([t]) + squeeze(x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes())
+            return bytes([t]) + squeeze(x.astype(kind).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize).T.tobytes())
     raise OverflowError(top)
 
 
@@ -133,12 +136,15 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, held, tokens: int) -> Da
     return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, held binary, sizes binary, words binary, counts binary, seq binary, by binary, n_words long, n_tokens long")
 
 
-REPLY = "kind int, chunk long, range int, a binary, b binary"
+REPLY = "kind int, chunk long, range int, a binary, b binary, c binary, d binary"
+NAMES = ["kind", "chunk", "range", "a", "b", "c", "d"]
 
 
 def _reply(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) if rows else [()] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["kind", "chunk", "range", "a", "b"])
+    """Rows of (kind, chunk, range, a, ...); missing blobs are empty."""
+    rows = [(*r, *[b""] * (7 - len(r))) for r in rows]
+    columns = list(zip(*rows)) if rows else [()] * 7
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4))], NAMES)
 
 
 def _word_counts(table: DataFrame, ranges: int) -> DataFrame:
@@ -161,179 +167,266 @@ def _word_counts(table: DataFrame, ranges: int) -> DataFrame:
         total = np.bincount(at, np.concatenate([unpack(x.as_py()) for x in t["counts"]]).astype(float), len(u)).astype(np.int64)
         cut = np.cumsum([0, *map(len, words)])
         out = [(0, c.as_py(), r, pack(total[at[cut[k] : cut[k + 1]]]), pack(at[cut[k] : cut[k + 1]].astype(np.uint64) * np.uint64(ranges) + np.uint64(r))) for k, c in enumerate(t["chunk"])]
-        stats = np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)])
-        return _reply([*out, (9, -1, r, stats.astype(np.int64).tobytes(), b"")])
+        stats = np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3), [len(u)]])
+        return _reply([*out, (9, -1, r, stats.astype(np.int64).tobytes())])
 
     asked = table.select("chunk", "words", "counts").mapInArrow(split, "range int, chunk long, words binary, counts binary")
-    return asked.groupBy("range").applyInArrow(count, REPLY)
+    return asked.repartition(min(ranges, PARTITIONS), "range").groupBy("range").applyInArrow(count, REPLY)
 
 
-class Chunk:
-    """A chunk with the replies to its words: its distinct bigrams in the order in which it asks for them."""
+def spread(count: np.ndarray, total: int, ranges: int) -> np.ndarray:
+    """Over how many ranges the n-grams of a history go: one for each average range's worth of its tokens."""
+    return np.maximum(np.uint64(1), count.astype(np.uint64) * np.uint64(ranges) // np.uint64(max(total, 1)))
 
-    def __init__(self, row: dict, replies: list[tuple], total: int, ranges: int):
-        own = sorted((r, a, b) for kind, r, a, b in replies if kind == 0)
-        self.c = np.concatenate([unpack(a) for _, a, _ in own])
-        self.id = np.concatenate([unpack(b) for _, _, b in own])
-        self.sizes = unpack(row["sizes"]).astype(np.int64)
-        self.seq = unpack(row["by"]).astype(np.int64)[unpack(row["seq"]).astype(np.int64)]
-        self.held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=len(self.sizes)).astype(bool)
-        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        n = len(self.c)
-        before = np.concatenate([[n], self.seq[:-1]])
-        before[np.cumsum(self.sizes) - self.sizes] = n
-        pair, at = np.unique(before * (n + 1) + self.seq, return_inverse=True)
-        train = np.bincount(at[~self.held[self.row]], minlength=len(pair))
-        end = self.c[self.seq[-1]]  # the last token is an end token; each training document has one
-        v, w = pair // (n + 1), pair % (n + 1)
-        ids, counts = np.append(self.id, START), np.append(self.c, end)
-        self.v, self.w, self.cv, self.cw, self.n = ids[v], self.id[w], counts[v], self.c[w], train
-        parts = spread(self.cv, total, ranges)
-        sub = mix(self.w) % parts
-        self.range = (mix(self.v + sub * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(ranges)).astype(np.int64)
-        self.order = np.argsort(self.range, kind="stable")
-        self.at = at
 
+def range_of(key: np.ndarray, sub: np.ndarray, ranges: int) -> np.ndarray:
+    return (mix(key + sub * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(ranges)).astype(np.int64)
 
-def spread(cv: np.ndarray, total: int, ranges: int) -> np.ndarray:
-    """Over how many ranges the bigrams of a history go: one for each average range's worth of its tokens."""
-    return np.maximum(np.uint64(1), cv.astype(np.uint64) * np.uint64(ranges) // np.uint64(max(total, 1)))
 
+def sums_of(h: np.ndarray, n: np.ndarray, lower: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each history: n-grams of count 1..CUT and tokens of those above it; and the lower order's P of all seen words."""
+    out = np.zeros((size, CUT + 1))
+    for r in range(1, CUT + 1):
+        out[:, r - 1] = np.bincount(h[n == r], minlength=size)
+    out[:, CUT] = np.bincount(h, np.where(n > CUT, n, 0), size)
+    return out, np.bincount(h, np.where(n > 0, lower, 0.0), size)
+
+
+class Model:
+    """What all tasks know: training tokens, training documents, ranges, and the discounts of the orders so far."""
+
+    def __init__(self, unigrams: Unigrams, total: int, ranges: int):
+        self.unigrams, self.total, self.ranges = unigrams, total, ranges
+        self.d: list[np.ndarray] = []  # of bigrams, trigrams, ...
+
+    def _with(self, d: list[np.ndarray]) -> Model:
+        self.d = d
+        return self
+
+    def lower(self, order: int, m: np.ndarray, den: np.ndarray) -> np.ndarray:
+        """P of one order less, of n-grams that training has, from their count and their history's."""
+        if order == 2:
+            return self.unigrams.p(m)
+        d = self.d[order - 3]
+        return d[np.minimum(m, CUT + 1).astype(np.int64)] * m / den
+
+
+class Level:
+    """The n-grams of one order in a chunk, by number: their histories, counts and, once answered, probabilities."""
+
+    def __init__(self, hist: np.ndarray, key: np.ndarray, count: np.ndarray, word: np.ndarray, ids: np.ndarray, trained: np.ndarray, m: np.ndarray, den: np.ndarray, model: Model):
+        self.key, self.count, self.model = key, count.astype(np.int64), model
+        gram, self.at = np.unique(hist * len(ids) + word, return_inverse=True)
+        self.h, self.w = gram // len(ids), gram % len(ids)
+        self.id = ids[self.w]
+        token = np.empty(len(gram), np.int64)
+        token[self.at] = np.arange(len(self.at))
+        self.token = token  # one of each n-gram's tokens
+        self.m, self.den = m[token], np.ones(len(key))
+        self.den[self.h] = den[token]
+        self.own = np.bincount(self.at[trained], minlength=len(gram))
+        have = np.bincount(self.h, minlength=len(key)) > 0
+        self.open = have & (self.count > 0) & (np.bincount(self.h, self.own, len(key)) != self.count)
+        parts = spread(self.count, model.total, model.ranges)
+        self.hot = parts > 1
+        self.asked = np.flatnonzero(self.open[self.h])
+        r = range_of(key[self.h[self.asked]], mix(self.id[self.asked]) % parts[self.h[self.asked]], model.ranges)
+        by = np.argsort(r, kind="stable")
+        self.asked, self.r = self.asked[by], r[by]
+        one = np.flatnonzero(self.open)
+        each = np.repeat(one, parts[one].astype(np.int64))
+        sub = np.arange(len(each)) - np.repeat(np.cumsum(parts[one].astype(np.int64)) - parts[one].astype(np.int64), parts[one].astype(np.int64))
+        at = range_of(key[each], sub.astype(np.uint64), model.ranges)
+        code = np.unique(at * len(key) + each)  # two parts of a history may fall in one range
+        self.entry, self.entry_r = code % len(key), code // len(key)
+        self.size = np.bincount(np.searchsorted(code, self.r * len(key) + self.h[self.asked]), minlength=len(code))
+
+    def asks(self, chunk: int) -> list[tuple]:
+        """(range, chunk, histories, whether spread, their denominators, n-grams of each, words, own counts, lower counts)."""
+        cut = np.searchsorted(self.r, np.arange(self.model.ranges + 1))
+        place = np.searchsorted(self.entry_r, np.arange(self.model.ranges + 1))
+        out = []
+        for r in np.flatnonzero(place[1:] > place[:-1]):
+            e, g = self.entry[place[r] : place[r + 1]], self.asked[cut[r] : cut[r + 1]]
+            blobs = (self.key[e], self.hot[e], self.den[e].astype(np.uint64), self.size[place[r] : place[r + 1]], self.id[g], self.own[g], self.m[g])
+            out.append((int(r), chunk, *(pack(x) for x in blobs)))
+        closed = self.own[~self.open[self.h]]
+        seen = np.bincount(np.minimum(closed[closed > 0], CUT + 2), minlength=CUT + 3).astype(np.int64)
+        return [*out, (-1, chunk, seen.tobytes(), *[b""] * 6)]
+
+    def answer(self, order: int, replies: list[dict]) -> None:
+        """Take in the counts and sums of the open histories; those of the others are the chunk's own."""
+        self.n = np.where(self.open[self.h], 0, self.own)
+        lower = self.model.lower(order, self.m, self.den[self.h])
+        mine = ~self.open[self.h]
+        self.sums, self.seen = sums_of(self.h[mine], self.own[mine], lower[mine], len(self.key))
+        replies = sorted(replies, key=lambda x: x["range"])
+        if replies:
+            self.n[self.asked] = np.concatenate([unpack(x["a"]) for x in replies]).astype(np.int64)
+            some = np.concatenate([unpack(x["b"]) for x in replies]) > 0
+            np.add.at(self.sums, (self.entry, 0), some & ~self._needed())
+            full = self.entry[self._needed()]
+            np.add.at(self.sums, full, np.concatenate([unpack(x["c"]).astype(np.int64).reshape(-1, CUT + 1) for x in replies]))
+            np.add.at(self.seen, full, np.concatenate([np.frombuffer(expand(x["d"])) for x in replies]))
+
+    def _needed(self) -> np.ndarray:
+        """Entries whose sums are needed: with an n-gram to back off, or spread."""
+        return needed(self.hot[self.entry], self.size, self.n[self.asked])
+
+    def probabilities(self, order: int, below: np.ndarray) -> np.ndarray:
+        """log10 P of each n-gram; ``below`` is that of one order less, by token."""
+        d = self.model.d[order - 2]
+        less = d[1 : CUT + 1] < 1
+        self.full = (self.sums[:, :CUT][:, less].sum(1) if less.any() else np.zeros(len(self.key))) == 0  # nothing is discounted: one more token is set aside
+        count = self.count.astype(float)
+        seen = (self.sums[:, :CUT] @ (d[1 : CUT + 1] * np.arange(1, CUT + 1)) + self.sums[:, CUT]) / np.maximum(count, 1)
+        left = np.where(self.full, 1.0 / (count + 1), 1.0 - seen)
+        weight = np.where(self.count > 0, left / np.maximum(1.0 - self.seen, 1e-300), 1.0)
+        back = np.log10(np.maximum(weight, 1e-300))[self.h] + below[self.token]
+        self.total = np.where(self.full, count + 1, np.maximum(count, 1))
+        direct = d[np.minimum(self.n, CUT + 1)] * self.n / self.total[self.h]
+        return np.where(self.n > 0, np.log10(np.where(self.n > 0, direct, 1.0)), back)
+
+
+def needed(hot: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
+    lacks = np.bincount(np.repeat(np.arange(len(size)), size)[n == 0], minlength=len(size)) > 0
+    return lacks | hot
+
+
+def _joined(key: np.ndarray, word: np.ndarray, narrow: bool) -> np.ndarray:
+    """Keys of n-grams as histories: two numbers below 2 ** 32 side by side, else a 64-bit hash."""
+    return key << np.uint64(32) | word if narrow else mix(mix(key) * np.uint64(0x9E3779B97F4A7C15) + word)
 
-def _replies(t: pa.Table) -> list[tuple]:
-    return list(zip(t["kind"].to_pylist(), t["range"].to_pylist(), t["a"].to_pylist(), t["b"].to_pylist()))
 
+class Chunk:
+    """A chunk with the replies that it has: the words, and the levels as far as they are answered."""
 
-def _bigrams(table: DataFrame, replies: DataFrame, total: int, ranges: int, unigrams: Unigrams) -> DataFrame:
-    """The bigram table by ranges (kind 0), counts of counts (kind 1) and partial sums of spread histories (kind 2)."""
+    def __init__(self, row: dict, replies: list[dict], model: Model, narrow: bool, orders: int):
+        own = sorted((x["range"], x["a"], x["b"]) for x in replies if x["kind"] == 0)
+        self.c = np.concatenate([unpack(a) for _, a, _ in own])
+        ids = np.concatenate([unpack(b) for _, _, b in own])
+        self.sizes = unpack(row["sizes"]).astype(np.int64)
+        self.seq = unpack(row["by"]).astype(np.int64)[unpack(row["seq"]).astype(np.int64)]
+        self.held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=len(self.sizes)).astype(bool)
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        trained = ~self.held[self.row]
+        start = np.cumsum(self.sizes) - self.sizes
+        documents = self.c[self.seq[-1]]  # the last token is an end token; each training document has one
+        key, count, gram = ids, self.c, self.seq
+        self.value = np.log10(np.maximum(model.unigrams.p(self.c), 1e-300))[self.seq]
+        m, den = self.c[self.seq], np.ones(len(self.seq))
+        for order in range(2, orders + 1):
+            hist = np.concatenate([[0], gram[:-1]])
+            hist[start] = len(key)
+            level = Level(hist, np.append(key, START), np.append(count, documents), self.seq, ids, trained, m, den, model)
+            self.level, gram = level, level.at
+            if order - 2 == len(model.d):  # not answered yet
+                break
+            level.answer(order, [x for x in replies if x["kind"] == order])
+            self.value = level.probabilities(order, self.value)[gram]
+            key, count = _joined(level.key[level.h], level.id, narrow and order == 2), level.n
+            m, den = level.n[gram], level.total[level.h][gram]
+
+
+ASK = "range int, chunk long, hist binary, hot binary, den binary, size binary, w binary, n binary, m binary"
+
+
+def _ngrams(table: DataFrame, replies: DataFrame, model, order: int, narrow: bool, chunks: int, ranges: int) -> DataFrame:
+    """Replies of kind ``order`` to the chunks, and counts of counts by range (kind 100 + order)."""
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["range", "chunk", "v", "w", "cv", "cw", "n"]
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-        columns: list[list] = [[] for _ in names]
+        names = [x.split()[0] for x in ASK.split(", ")]
+        rows = []
         if left.num_rows:
-            c = Chunk(left.to_pylist()[0], _replies(right), total, ranges)
-            cut = np.searchsorted(c.range[c.order], np.arange(ranges + 1))
-            for r in range(ranges):
-                o = c.order[cut[r] : cut[r + 1]]
-                if len(o):
-                    for column, x in zip(columns, (r, left["chunk"][0].as_py(), *(pack(y[o]) for y in (c.v, c.w, c.cv, c.cw, c.n)))):
-                        column.append(x)
-        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], names)
+            rows = Chunk(left.to_pylist()[0], right.to_pylist(), model.value, narrow, order).level.asks(left["chunk"][0].as_py())
+        columns = list(zip(*rows)) if rows else [()] * len(names)
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 7))], names)
 
     def count(t: pa.Table) -> pa.Table:
-        parts = {k: [unpack(x) for x in t[k].to_pylist()] for k in ("v", "w", "cv", "cw", "n")}
-        size = np.array([len(x) for x in parts["v"]])
-        v, w = np.concatenate(parts["v"]), np.concatenate(parts["w"])
-        histories, vi = np.unique(v, return_inverse=True)
-        followers, wi = np.unique(w, return_inverse=True)
-        _, first, at = np.unique(vi * len(followers) + wi, return_index=True, return_inverse=True)
-        n = np.bincount(at, np.concatenate(parts["n"]).astype(float), len(first)).astype(np.int64)
-        cv, cw = np.concatenate(parts["cv"])[first], np.concatenate(parts["cw"])[first]
         r = t["range"][0].as_py()
-        rows = [(0, r, np.array(t["chunk"].to_numpy(), np.int64).tobytes(), pack(size), pack(at), pack(v[first]), pack(cv), pack(cw), pack(n)), (1, r, np.bincount(np.minimum(n, CUT + 2), minlength=CUT + 3).astype(np.int64).tobytes(), *[b""] * 6)]
-        hot = np.flatnonzero(spread(cv, total, ranges) > 1)
-        if len(hot):
-            names, k = np.unique(v[first][hot], return_inverse=True)
-            rows.append((2, r, names.tobytes(), history_sums(k, n[hot], cw[hot], len(names), unigrams).tobytes(), *[b""] * 5))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 7))], ["kind", "range", "a", "b", "c", "d", "e", "f", "g"])
-
-    asked = table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ask, "range int, chunk long, v binary, w binary, cv binary, cw binary, n binary")
-    return asked.groupBy("range").applyInArrow(count, "kind int, range int, a binary, b binary, c binary, d binary, e binary, f binary, g binary")
-
-
-def history_sums(k: np.ndarray, n: np.ndarray, cw: np.ndarray, size: int, unigrams: Unigrams) -> np.ndarray:
-    """For each history: bigrams of count 1..CUT, tokens of bigrams above it, and P(w) of all its seen followers."""
-    out = np.zeros((size, CUT + 2))
-    for r in range(1, CUT + 1):
-        out[:, r - 1] = np.bincount(k[n == r], minlength=size)
-    out[:, CUT] = np.bincount(k, np.where(n > CUT, n, 0), size)
-    out[:, CUT + 1] = np.bincount(k, np.where(n > 0, unigrams.p(cw), 0.0), size)
-    return out
-
-
-def log_probabilities(k: np.ndarray, sums: np.ndarray, cv: np.ndarray, cw: np.ndarray, n: np.ndarray, d: np.ndarray, unigrams: Unigrams) -> np.ndarray:
-    """log10 P(w | v) of each bigram; k is its history's row in sums."""
-    cv = cv.astype(float)
-    seen = (sums[:, :CUT] @ (d[1 : CUT + 1] * np.arange(1, CUT + 1)) + sums[:, CUT])[k] / np.maximum(cv, 1)
-    rest = 1.0 - seen
-    full = rest < 1e-12  # nothing was discounted: one more token is set aside for the unseen
-    left = np.where(full, 1.0 / (cv + 1), rest)
-    backoff = np.where(cv > 0, left / np.maximum(1.0 - sums[k, CUT + 1], 1e-300), 1.0)
-    below = np.log10(np.maximum(backoff, 1e-300)) + np.log10(np.maximum(unigrams.p(cw), 1e-300))
-    direct = d[np.minimum(n, CUT + 1)] * n / np.where(full, cv + 1, np.maximum(cv, 1))
-    return np.where(n > 0, np.log10(np.where(n > 0, direct, 1.0)), below)
-
-
-def _answers(table: DataFrame, total: int, ranges: int, d: np.ndarray, unigrams: Unigrams, hot: dict) -> DataFrame:
-    shared = table.sparkSession.sparkContext.broadcast(hot)  # fewer histories than ranges
-
-    def run(found):
-        for b in found:
-            for row in b.to_pylist():
-                v, cv, cw, n = (unpack(row[x]) for x in "defg")
-                n = n.astype(np.int64)
-                names, k = np.unique(v, return_inverse=True)
-                sums = history_sums(k, n, cw, len(names), unigrams)
-                for j in np.unique(k[spread(cv, total, ranges) > 1]):
-                    sums[j] = shared.value[int(names[j])]
-                value = log_probabilities(k, sums, cv, cw, n, d, unigrams)
-                at = unpack(row["c"]).astype(np.int64)
-                cut = np.concatenate([[0], np.cumsum(unpack(row["b"]).astype(np.int64))])
-                rows = [(1, int(c), row["range"], squeeze(value[at[cut[i] : cut[i + 1]]].tobytes()), b"") for i, c in enumerate(np.frombuffer(row["a"], np.int64))]
-                yield from _reply(rows).to_batches()
-
-    return table.where("kind = 0").mapInArrow(run, REPLY)
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, chunk_tokens: int = 1_500_000, range_entries: int = 400_000) -> DataFrame:
+        if r < 0:
+            seen = sum(np.frombuffer(x, np.int64) for x in t["hist"].to_pylist())
+            return _reply([(100 + order, -1, r, seen.tobytes())])
+        part = {k: [unpack(x) for x in t[k].to_pylist()] for k in ("hist", "hot", "den", "size", "w", "n", "m")}
+        flat = {k: np.concatenate(v) for k, v in part.items()}
+        histories, hi = np.unique(flat["hist"], return_inverse=True)
+        entry = np.repeat(np.arange(len(hi)), flat["size"].astype(np.int64))
+        followers, wi = np.unique(flat["w"], return_inverse=True)
+        _, first, at = np.unique(hi[entry] * max(1, len(followers)) + wi, return_index=True, return_inverse=True)
+        n = np.bincount(at, flat["n"].astype(float), len(first)).astype(np.int64)
+        lower = model.value.lower(order, flat["m"][first].astype(np.int64), flat["den"][entry[first]].astype(float))
+        sums, seen = sums_of(hi[entry[first]], n, lower, len(histories))
+        out, e, g = [], 0, 0
+        for k, c in enumerate(t["chunk"].to_pylist()):
+            f, i = e + len(part["hist"][k]), g + len(part["w"][k])
+            mine, h = n[at[g:i]], hi[e:f]
+            need = needed(part["hot"][k] > 0, part["size"][k].astype(np.int64), mine)
+            out.append((order, c, r, pack(mine), pack(sums[h, :CUT].sum(1) > 0), pack(sums[h[need]].astype(np.uint64).ravel()), squeeze(seen[h[need]].tobytes())))
+            e, g = f, i
+        stats = np.bincount(np.minimum(n[n > 0], CUT + 2), minlength=CUT + 3).astype(np.int64)
+        return _reply([*out, (100 + order, -1, r, stats.tobytes())])
+
+    both = (x.repartition(chunks, "chunk").groupBy("chunk") for x in (table, replies))
+    asked = next(both).cogroup(next(both)).applyInArrow(ask, ASK)
+    return asked.repartition(min(ranges, PARTITIONS), "range").groupBy("range").applyInArrow(count, REPLY)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, order: int = ORDER, chunk_tokens: int = 1_500_000, range_entries: int = 400_000) -> DataFrame:
     """Base and Katz log10 probabilities of every whole text; rows with crc32(id as text) mod modulus = remainder are held out of training.
 
-    A null or empty text is one end token. A row with a null id isn't held out. Repeated rows count and are scored each.
-    Words that training lacks share the probability of one unknown outcome. Without training rows every outcome is
-    unknown and scores 0. An empty table gives an empty result; other columns are ignored.
+    The model backs off from ``order`` (at least 2) down to single words, recursively for each token: an n-gram that
+    training has takes its discounted relative frequency, another one the history's backoff weight times the probability
+    of one order less; a history that training lacks passes it on unchanged.
+
+    * A null or empty text is one end token. A row with a null id isn't held out. Repeated rows count and are scored each.
+    * Words that training lacks share the probability of one unknown outcome. Without training rows every outcome is
+      unknown and scores 0. Where counts of counts can't carry Good-Turing, absolute discounting takes over.
+    * Very long texts are taken whole; a text of more than ``chunk_tokens`` words is a chunk of its own.
+    * Words are told by 64-bit hashes. Histories are told exactly up to order 3 and 2 ** 32 distinct words, beyond by
+      64-bit hashes.
+    * An empty table gives an empty result; other columns are ignored, whatever their names.
     """
+    if order < 2:
+        raise ValueError("order must be at least 2")
+    sc = docs.sparkSession.sparkContext
     store = Store(docs.sparkSession)
     held = (F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus).eqNullSafe(remainder)
     kind = docs.schema[id_col].dataType.simpleString()
     table = store.keep(chunks(docs, id_col, text_col, held, chunk_tokens), "chunks")
-    size = table.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t")).first()
+    size = table.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t"), F.count("*").alias("c")).first()
     words = max(2, -(-(size.w or 0) // (2 * range_entries)))
     ranges = max(2, -(-(size.t or 0) // range_entries))
-    replies = store.keep(_word_counts(table, words), "words", partition="kind").select("kind", "chunk", "range", "a", "b")
-    stats = np.zeros(CUT + 5, np.int64)
-    for r in replies.where("kind = 9").select("a").toLocalIterator():  # 80 bytes a range
-        stats += np.frombuffer(bytes(r.a), np.int64)
+    parts = min(max(1, size.c), PARTITIONS)
+    had = store.keep(_word_counts(table, words), "words", partition="kind").select(*NAMES)
+    stats, most = np.zeros(CUT + 5, np.int64), 0
+    for r in had.where("kind = 9").select("a").toLocalIterator():  # 88 bytes a range
+        found = np.frombuffer(bytes(r.a), np.int64)
+        stats, most = stats + found[:-1], max(most, int(found[-1]))
     total, distinct = int(stats[0]), int(stats[1])
-    unigrams = Unigrams(np.concatenate([stats[2:]])[: CUT + 2], total)
-    own = replies.where("kind = 0")
-    bigrams = store.keep(_bigrams(table, own, total, ranges, unigrams), "bigrams", partition="kind")
-    bigrams = bigrams.select("kind", "range", "a", "b", "c", "d", "e", "f", "g")
-    n = np.zeros(CUT + 3, np.int64)
-    for r in bigrams.where("kind = 1").select("a").toLocalIterator():  # 64 bytes a range
-        n += np.frombuffer(bytes(r.a), np.int64)
-    hot: dict[int, np.ndarray] = {}
-    for r in bigrams.where("kind = 2").select("range", "a", "b").orderBy("range").toLocalIterator():  # histories of over one range's worth of tokens
-        for name, sums in zip(np.frombuffer(bytes(r.a), np.uint64), np.frombuffer(bytes(r.b)).reshape(-1, CUT + 2)):
-            hot[int(name)] = hot.get(int(name), 0) + sums
-    answers = store.keep(_answers(bigrams, total, ranges, discounts(n[: CUT + 2]), unigrams, hot), "answers")
-    store.drop("bigrams")
+    model = Model(Unigrams(stats[2:][: CUT + 2], total), total, ranges)
+    narrow = most * words < int(START)  # ids are below the distinct words of the fullest range times the ranges
+    had = had.where("kind = 0")
+    for k in range(2, order + 1):
+        replies = store.keep(_ngrams(table, had, sc.broadcast(model), k, narrow, parts, ranges), f"replies-{k}", partition="kind").select(*NAMES)
+        seen = np.zeros(CUT + 3, np.int64)
+        for r in replies.where(f"kind = {100 + k}").select("a").toLocalIterator():  # 64 bytes a range
+            seen += np.frombuffer(bytes(r.a), np.int64)
+        model = Model(model.unigrams, total, ranges)._with([*model.d, discounts(seen[: CUT + 2])])
+        had = had.unionByName(replies.where(f"kind = {k}"))
+    final = sc.broadcast(model)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in (left.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
-        had = _replies(right)
-        c = Chunk(left.to_pylist()[0], had, total, ranges)
-        value = np.empty(len(c.order))
-        value[c.order] = np.concatenate([np.frombuffer(expand(a)) for _, a in sorted((r, a) for kind, r, a, _ in had if kind == 1)])
+        c = Chunk(left.to_pylist()[0], right.to_pylist(), final.value, narrow, order)
         known = c.c[c.seq]
         base = np.log10((known + np.uint64(1)).astype(float) / (total + distinct + 1.0))
         rows = len(c.sizes)
         ids = left["ids"].combine_chunks()
         ids = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).flatten()
         add = lambda x: np.bincount(c.row, x, rows)
-        return pa.table([ids, pa.array(c.held), pa.array(c.sizes), pa.array(add(known > 0).astype(np.int64)), pa.array(np.full(rows, total)), pa.array(add(base)), pa.array(add(value[c.at]))], names)
+        return pa.table([ids, pa.array(c.held), pa.array(c.sizes), pa.array(add(known > 0).astype(np.int64)), pa.array(np.full(rows, total)), pa.array(add(base)), pa.array(add(c.value))], names)
 
-    every = own.unionByName(answers)
-    return table.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    both = (x.repartition(parts, "chunk").groupBy("chunk") for x in (table, had))
+    return next(both).cogroup(next(both)).applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
