@@ -3,7 +3,7 @@
 Texts become chunks: the distinct word hashes of some thousand documents, and the documents as positions among them.
 Order by order, chunks ask for what they can't know alone, packed by hash range of the history, and a range's task adds
 the counts of all chunks and answers each one: the count of every n-gram asked for, and the sums that a history's backoff
-weight needs. A history whose training occurrences all lie in one chunk is settled there. What is exchanged follows the
+weight needs. A history that no other chunk has is settled in its own. What is exchanged follows the
 distinct n-grams of a chunk, and a word that is a third of all tokens is one entry a chunk. n-grams of histories that
 would fill several ranges are spread over as many by their last word; a chunk then adds the sums of all of them.
 """
@@ -107,13 +107,13 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, held, tokens: int) -> Da
         rank = np.empty(len(words), np.int64)  # the sequence names frequent words by small numbers, which compress well
         by = np.argsort(-np.bincount(at), kind="stable")
         rank[by] = np.arange(len(words))
-        counts = np.bincount(at[np.repeat(~hold, size)], minlength=len(words))
+        counts, spare = (np.bincount(at[np.repeat(m, size)], minlength=len(words)) for m in (~hold, hold))
         whole = pa.concat_arrays(ids)
         lists = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
         blob = lambda x: pa.array([x], pa.binary())
         name = uuid.uuid4().int >> 66  # a table is written from these rows before anything reads them, so the name is fixed
-        columns = [pa.array([name], pa.int64()), lists, blob(np.packbits(hold).tobytes()), blob(pack(size)), blob(pack_sorted(words)), blob(pack(counts)), blob(pack(rank[at])), blob(pack(by)), pa.array([len(words)], pa.int64()), pa.array([len(at)], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "held", "sizes", "words", "counts", "seq", "by", "n_words", "n_tokens"])
+        columns = [pa.array([name], pa.int64()), lists, blob(np.packbits(hold).tobytes()), blob(pack(size)), blob(pack_sorted(words)), blob(pack(counts)), blob(pack(spare)), blob(pack(rank[at])), blob(pack(by)), pa.array([len(words)], pa.int64()), pa.array([len(at)], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "held", "sizes", "words", "counts", "spare", "seq", "by", "n_words", "n_tokens"])
 
     def run(found):
         ids, hold, seq, sizes, n = [], [], [], [], 0
@@ -133,44 +133,44 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, held, tokens: int) -> Da
             yield flush(ids, hold, seq, sizes)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, held binary, sizes binary, words binary, counts binary, seq binary, by binary, n_words long, n_tokens long")
+    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, held binary, sizes binary, words binary, counts binary, spare binary, seq binary, by binary, n_words long, n_tokens long")
 
 
-REPLY = "kind int, chunk long, range int, a binary, b binary, c binary, d binary"
-NAMES = ["kind", "chunk", "range", "a", "b", "c", "d"]
+REPLY = "kind int, chunk long, range int, a binary, b binary, c binary, d binary, e binary"
+NAMES = ["kind", "chunk", "range", "a", "b", "c", "d", "e"]
 
 
 def _reply(rows: list[tuple]) -> pa.Table:
     """Rows of (kind, chunk, range, a, ...); missing blobs are empty."""
-    rows = [(*r, *[b""] * (7 - len(r))) for r in rows]
-    columns = list(zip(*rows)) if rows else [()] * 7
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4))], NAMES)
+    rows = [(*r, *[b""] * (8 - len(r))) for r in rows]
+    columns = list(zip(*rows)) if rows else [()] * 8
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5))], NAMES)
 
 
 def _word_counts(table: DataFrame, ranges: int) -> DataFrame:
-    """Replies of kind 0 (count and id of each distinct word of a chunk) and of kind 9 (totals of a range)."""
+    """Replies of kind 0 (count, id and held-out count of each distinct word of a chunk) and of kind 9 (totals of a range)."""
     width = (1 << 64) // ranges + 1
     edges = (np.arange(1, ranges, dtype=object) * width).astype(np.uint64)
 
     def split(found):
         for b in found:
             for k in range(b.num_rows):
-                words, counts = unpack_sorted(b.column(1)[k].as_py()), unpack(b.column(2)[k].as_py())
+                words, *counts = unpack_sorted(b.column(1)[k].as_py()), unpack(b.column(2)[k].as_py()), unpack(b.column(3)[k].as_py())
                 cut = np.concatenate([[0], np.searchsorted(words, edges), [len(words)]])
                 some = [r for r in range(ranges) if cut[r] < cut[r + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([b.column(0)[k].as_py()] * len(some), pa.int64()), pa.array([pack_sorted(words[cut[r] : cut[r + 1]]) for r in some], pa.binary()), pa.array([pack(counts[cut[r] : cut[r + 1]]) for r in some], pa.binary())], ["range", "chunk", "words", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([b.column(0)[k].as_py()] * len(some), pa.int64()), pa.array([pack_sorted(words[cut[r] : cut[r + 1]]) for r in some], pa.binary()), *(pa.array([pack(x[cut[r] : cut[r + 1]]) for r in some], pa.binary()) for x in counts)], ["range", "chunk", "words", "counts", "spare"])
 
     def count(t: pa.Table) -> pa.Table:
         r = t["range"][0].as_py()
         words = [unpack_sorted(x.as_py()) for x in t["words"]]
         u, at = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(at, np.concatenate([unpack(x.as_py()) for x in t["counts"]]).astype(float), len(u)).astype(np.int64)
+        total, spare = (np.bincount(at, np.concatenate([unpack(x.as_py()) for x in t[c]]).astype(float), len(u)).astype(np.int64) for c in ("counts", "spare"))
         cut = np.cumsum([0, *map(len, words)])
-        out = [(0, c.as_py(), r, pack(total[at[cut[k] : cut[k + 1]]]), pack(at[cut[k] : cut[k + 1]].astype(np.uint64) * np.uint64(ranges) + np.uint64(r))) for k, c in enumerate(t["chunk"])]
+        out = [(0, c.as_py(), r, pack(total[at[cut[k] : cut[k + 1]]]), pack(at[cut[k] : cut[k + 1]].astype(np.uint64) * np.uint64(ranges) + np.uint64(r)), pack(spare[at[cut[k] : cut[k + 1]]])) for k, c in enumerate(t["chunk"])]
         stats = np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3), [len(u)]])
         return _reply([*out, (9, -1, r, stats.astype(np.int64).tobytes())])
 
-    asked = table.select("chunk", "words", "counts").mapInArrow(split, "range int, chunk long, words binary, counts binary")
+    asked = table.select("chunk", "words", "counts", "spare").mapInArrow(split, "range int, chunk long, words binary, counts binary, spare binary")
     return asked.repartition(min(ranges, PARTITIONS), "range").groupBy("range").applyInArrow(count, REPLY)
 
 
@@ -214,7 +214,7 @@ class Model:
 class Level:
     """The n-grams of one order in a chunk, by number: their histories, counts and, once answered, probabilities."""
 
-    def __init__(self, hist: np.ndarray, key: np.ndarray, count: np.ndarray, word: np.ndarray, ids: np.ndarray, trained: np.ndarray, m: np.ndarray, den: np.ndarray, model: Model):
+    def __init__(self, hist: np.ndarray, key: np.ndarray, count: np.ndarray, spare: np.ndarray, word: np.ndarray, ids: np.ndarray, trained: np.ndarray, m: np.ndarray, den: np.ndarray, model: Model):
         self.key, self.count, self.model = key, count.astype(np.int64), model
         gram, self.at = np.unique(hist * len(ids) + word, return_inverse=True)
         self.h, self.w = gram // len(ids), gram % len(ids)
@@ -224,9 +224,9 @@ class Level:
         self.token = token  # one of each n-gram's tokens
         self.m, self.den = m[token], np.ones(len(key))
         self.den[self.h] = den[token]
-        self.own = np.bincount(self.at[trained], minlength=len(gram))
-        have = np.bincount(self.h, minlength=len(key)) > 0
-        self.open = have & (self.count > 0) & (np.bincount(self.h, self.own, len(key)) != self.count)
+        self.own, self.other = (np.bincount(self.at[x], minlength=len(gram)) for x in (trained, ~trained))
+        here = np.bincount(self.h, self.own + self.other, len(key))
+        self.open = (here > 0) & (self.count > 0) & (here != self.count + spare.astype(np.int64))  # others have it, too
         parts = spread(self.count, model.total, model.ranges)
         self.hot = parts > 1
         self.asked = np.flatnonzero(self.open[self.h])
@@ -242,27 +242,28 @@ class Level:
         self.size = np.bincount(np.searchsorted(code, self.r * len(key) + self.h[self.asked]), minlength=len(code))
 
     def asks(self, chunk: int) -> list[tuple]:
-        """(range, chunk, histories, whether spread, their denominators, n-grams of each, words, own counts, lower counts)."""
+        """(range, chunk, histories, whether spread, their denominators, n-grams of each, words, own counts, held-out ones, lower counts)."""
         cut = np.searchsorted(self.r, np.arange(self.model.ranges + 1))
         place = np.searchsorted(self.entry_r, np.arange(self.model.ranges + 1))
         out = []
         for r in np.flatnonzero(place[1:] > place[:-1]):
             e, g = self.entry[place[r] : place[r + 1]], self.asked[cut[r] : cut[r + 1]]
-            blobs = (self.key[e], self.hot[e], self.den[e].astype(np.uint64), self.size[place[r] : place[r + 1]], self.id[g], self.own[g], self.m[g])
+            blobs = (self.key[e], self.hot[e], self.den[e].astype(np.uint64), self.size[place[r] : place[r + 1]], self.id[g], self.own[g], self.other[g], self.m[g])
             out.append((int(r), chunk, *(pack(x) for x in blobs)))
         closed = self.own[~self.open[self.h]]
         seen = np.bincount(np.minimum(closed[closed > 0], CUT + 2), minlength=CUT + 3).astype(np.int64)
-        return [*out, (-1, chunk, seen.tobytes(), *[b""] * 6)]
+        return [*out, (-1, chunk, seen.tobytes(), *[b""] * 7)]
 
     def answer(self, order: int, replies: list[dict]) -> None:
         """Take in the counts and sums of the open histories; those of the others are the chunk's own."""
-        self.n = np.where(self.open[self.h], 0, self.own)
+        self.n, self.spare = self.own.copy(), self.other.copy()
         lower = self.model.lower(order, self.m, self.den[self.h])
         mine = ~self.open[self.h]
         self.sums, self.seen = sums_of(self.h[mine], self.own[mine], lower[mine], len(self.key))
         replies = sorted(replies, key=lambda x: x["range"])
         if replies:
             self.n[self.asked] = np.concatenate([unpack(x["a"]) for x in replies]).astype(np.int64)
+            self.spare[self.asked] = np.concatenate([unpack(x["e"]) for x in replies]).astype(np.int64)
             some = np.concatenate([unpack(x["b"]) for x in replies]) > 0
             np.add.at(self.sums, (self.entry, 0), some & ~self._needed())
             full = self.entry[self._needed()]
@@ -302,33 +303,34 @@ class Chunk:
     """A chunk with the replies that it has: the words, and the levels as far as they are answered."""
 
     def __init__(self, row: dict, replies: list[dict], model: Model, narrow: bool, orders: int):
-        own = sorted((x["range"], x["a"], x["b"]) for x in replies if x["kind"] == 0)
-        self.c = np.concatenate([unpack(a) for _, a, _ in own])
-        ids = np.concatenate([unpack(b) for _, _, b in own])
+        own = sorted((x["range"], x["a"], x["b"], x["c"]) for x in replies if x["kind"] == 0)
+        self.c, ids, spare = (np.concatenate([unpack(x[j]) for x in own]) for j in (1, 2, 3))
         self.sizes = unpack(row["sizes"]).astype(np.int64)
         self.seq = unpack(row["by"]).astype(np.int64)[unpack(row["seq"]).astype(np.int64)]
         self.held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=len(self.sizes)).astype(bool)
         self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
         trained = ~self.held[self.row]
         start = np.cumsum(self.sizes) - self.sizes
-        documents = self.c[self.seq[-1]]  # the last token is an end token; each training document has one
+        end = self.seq[-1]  # the last token is an end token; each document has one
+        own_spare = spare
         key, count, gram = ids, self.c, self.seq
         self.value = np.log10(np.maximum(model.unigrams.p(self.c), 1e-300))[self.seq]
         m, den = self.c[self.seq], np.ones(len(self.seq))
         for order in range(2, orders + 1):
             hist = np.concatenate([[0], gram[:-1]])
             hist[start] = len(key)
-            level = Level(hist, np.append(key, START), np.append(count, documents), self.seq, ids, trained, m, den, model)
+            level = Level(hist, np.append(key, START), np.append(count, self.c[end]), np.append(spare, own_spare[end]), self.seq, ids, trained, m, den, model)
             self.level, gram = level, level.at
             if order - 2 == len(model.d):  # not answered yet
                 break
             level.answer(order, [x for x in replies if x["kind"] == order])
             self.value = level.probabilities(order, self.value)[gram]
             key, count = _joined(level.key[level.h], level.id, narrow and order == 2), level.n
+            spare = level.spare
             m, den = level.n[gram], level.total[level.h][gram]
 
 
-ASK = "range int, chunk long, hist binary, hot binary, den binary, size binary, w binary, n binary, m binary"
+ASK = "range int, chunk long, hist binary, hot binary, den binary, size binary, w binary, n binary, o binary, m binary"
 
 
 def _ngrams(table: DataFrame, replies: DataFrame, model, order: int, narrow: bool, chunks: int, ranges: int) -> DataFrame:
@@ -340,20 +342,20 @@ def _ngrams(table: DataFrame, replies: DataFrame, model, order: int, narrow: boo
         if left.num_rows:
             rows = Chunk(left.to_pylist()[0], right.to_pylist(), model.value, narrow, order).level.asks(left["chunk"][0].as_py())
         columns = list(zip(*rows)) if rows else [()] * len(names)
-        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 7))], names)
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 8))], names)
 
     def count(t: pa.Table) -> pa.Table:
         r = t["range"][0].as_py()
         if r < 0:
             seen = sum(np.frombuffer(x, np.int64) for x in t["hist"].to_pylist())
             return _reply([(100 + order, -1, r, seen.tobytes())])
-        part = {k: [unpack(x) for x in t[k].to_pylist()] for k in ("hist", "hot", "den", "size", "w", "n", "m")}
+        part = {k: [unpack(x) for x in t[k].to_pylist()] for k in ("hist", "hot", "den", "size", "w", "n", "o", "m")}
         flat = {k: np.concatenate(v) for k, v in part.items()}
         histories, hi = np.unique(flat["hist"], return_inverse=True)
         entry = np.repeat(np.arange(len(hi)), flat["size"].astype(np.int64))
         followers, wi = np.unique(flat["w"], return_inverse=True)
         _, first, at = np.unique(hi[entry] * max(1, len(followers)) + wi, return_index=True, return_inverse=True)
-        n = np.bincount(at, flat["n"].astype(float), len(first)).astype(np.int64)
+        n, spare = (np.bincount(at, flat[x].astype(float), len(first)).astype(np.int64) for x in ("n", "o"))
         lower = model.value.lower(order, flat["m"][first].astype(np.int64), flat["den"][entry[first]].astype(float))
         sums, seen = sums_of(hi[entry[first]], n, lower, len(histories))
         out, e, g = [], 0, 0
@@ -361,7 +363,7 @@ def _ngrams(table: DataFrame, replies: DataFrame, model, order: int, narrow: boo
             f, i = e + len(part["hist"][k]), g + len(part["w"][k])
             mine, h = n[at[g:i]], hi[e:f]
             need = needed(part["hot"][k] > 0, part["size"][k].astype(np.int64), mine)
-            out.append((order, c, r, pack(mine), pack(sums[h, :CUT].sum(1) > 0), pack(sums[h[need]].astype(np.uint64).ravel()), squeeze(seen[h[need]].tobytes())))
+            out.append((order, c, r, pack(mine), pack(sums[h, :CUT].sum(1) > 0), pack(sums[h[need]].astype(np.uint64).ravel()), squeeze(seen[h[need]].tobytes()), pack(spare[at[g:i]])))
             e, g = f, i
         stats = np.bincount(np.minimum(n[n > 0], CUT + 2), minlength=CUT + 3).astype(np.int64)
         return _reply([*out, (100 + order, -1, r, stats.tobytes())])
