@@ -189,7 +189,7 @@ def sums_of(h: np.ndarray, n: np.ndarray, lower: np.ndarray, size: int) -> tuple
     for r in range(1, CUT + 1):
         out[:, r - 1] = np.bincount(h[n == r], minlength=size)
     out[:, CUT] = np.bincount(h, np.where(n > CUT, n, 0), size)
-    return out, np.bincount(h, np.where(n > 0, lower, 0.0), size)
+    return out, np.bincount(h, np.where(n > 0, lower, 0.0), size).astype(float)  # of no n-grams it counts in whole numbers
 
 
 class Model:
