@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,16 +18,22 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs, as [0-9a-f]+ of 32 and more
 KINDS = ("assign", "access", "hex", "guess")
-#: Contexts of the added kind: more names, more separators, and values of any characters: quoted ones to their own quote, others to white space or markup.
-CONTEXT = re.compile(
+#: Contexts of the added kind: more names, more separators. A value is quoted or runs to white space or markup.
+HEAD = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credential|private[_-]?key|auth[_-]?key|access[_-]?key|bearer)"""
-    r"""(?:(?P<sign>["']?\x20*(?::=|=>|[:=])\x20*)|\x20+)(?:"(?P<double>(?:[^"\\\n]|\\.){6,})"|'(?P<single>(?:[^'\\\n]|\\.){6,})'|["']?(?P<bare>(?:(?!</?[a-z!])\S){6,}))""",
+    r"""(?:(?P<sign>["']?\x20*(?::=|=>|[:=])\x20*)|\x20+(?:(?:is|was)\x20+)?)""",
     re.IGNORECASE | re.ASCII,
 )
+QUOTED = {'"': re.compile(r'"((?:[^"\\\n]|\\.){6,})"'), "'": re.compile(r"'((?:[^'\\\n]|\\.){6,})'")}
+STOP = re.compile(r"\s|</?[a-z!]", re.IGNORECASE)
+LEAST_LENGTH = 6
 #: What may stand between a bare value and the next context, and after a bare value without being part of it.
 BETWEEN = ",;&|<>(){}[]\"'"
 AFTER = ",;<>\"'"
 PROSE = re.compile(r"(?:[^\W\d_]?[^\W\d_A-Z]*|[A-Z]+)(?:\s+(?:[^\W\d_]?[^\W\d_A-Z]*|[A-Z]+))*")
+#: Names for a value instead of one: variables, templates, calls and vault headers; and links that carry no user.
+PLACE = re.compile(r"\$\{?[A-Za-z_][\w.]*\}?[;.]?.{0,3}|\$\(.*\)|\{\{?.*\}\}?|<[^>]*>?|%\(?\w+\)?[sd]?|[A-Za-z_][\w.]*(?:\(.*\)|\[.*\])[.;]?|[A-Za-z_]+(?:\.[A-Za-z_]+)+", re.ASCII | re.DOTALL)
+LINK = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^/@\s]*(?:[/?#][^@]*)?")
 CUES = ("pass", "pwd", "secret", "token", "key", "credential", "bearer")
 
 WORDS = (
@@ -35,134 +45,250 @@ WORDS = (
     "einen haus passwort geheim schule sommer winter contraseña clave secreto casa amor motdepasse secret bonjour soleil maison azerty"
 ).split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST = max(map(len, RANK))
+#: Words that the scan learns from its corpus, and their longest length.
+DICTIONARY, LONGEST = 50_000, 24
+LETTERS = re.compile(r"[^\W\d_]{3,24}")
 LEET = str.maketrans("4@3!10$57", "aaeiiosst")
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "qwertzuiopü", "azertyuiop")
 NEXT = {frozenset(p) for r in ROWS for p in zip(r, r[1:])} | {frozenset(p) for a, b in zip(ROWS[:3], ROWS[1:4]) for p in zip(a, b)}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
+#: Spans of a long run begin at most so far after its start or end at most so far before its end.
+NEAR = 64
 
 
 def _brute(text: str) -> float:
     """log10 guesses of one character by brute force, by the classes that occur in the value."""
-    size = 26 * any(c.islower() for c in text) + 26 * any(c.isupper() for c in text) + 10 * any(c.isdigit() for c in text) + 33 * any(not c.isalnum() for c in text)
+    have = set(text)
+    size = 26 * any(c.islower() for c in have) + 26 * any(c.isupper() for c in have) + 10 * any(c.isdigit() for c in have) + 33 * any(not c.isalnum() for c in have)
     return math.log10(max(size, 10))
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of ``value`` needs.
+def _lower(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def walk_step(a: str, b: str) -> int:
+    """Direction of the step between two characters: +1 or -1 in the alphabet, 2 to a keyboard neighbour, else 0."""
+    d = ord(b) - ord(a)
+    return d if abs(d) == 1 and a.isalnum() and b.isalnum() else 2 if frozenset((a, b)) in NEXT else 0
+
 
-    Dynamic programme over positions: best[j] = min over spans [i, j) of best[i] + cost(span), where a span is a
-    dictionary word (rank, doubled for capitals, tripled for substituted letters), a date, a repeat of one unit, a
-    keyboard walk or a run of one alphabet, or a single character by brute force. Each span after the first costs
-    0.3 more for the order of the parts.
+def guess_cost(value: str, ranks: dict[str, int] = RANK, enough: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of ``value`` needs; at least ``enough`` if it reaches that.
+
+    The minimum over segmentations into spans: a dictionary word (its rank; twice for capitals, about three times for
+    substituted letters), a date, a repeat of one unit of up to four characters, a keyboard walk or a run of one
+    alphabet, or a single character by brute force. Each longer span after the first costs 0.3 more for the order of the
+    parts. Positions are settled in the order of their cost, so a strong value is left after its first spans whatever its
+    length; of a run of more than 2 * NEAR characters, spans begin near its start and end near its start or its end.
     """
     n = len(value)
     if not n:
         return 0.0
-    low = value.lower()
+    low = _lower(value)
     plain = low.translate(LEET)
     char = _brute(value)
-    best = [0.0] + [math.inf] * n
-    dates = {}
-    for i in range(n):
-        if low[i].isdigit() and (m := DATE.match(low, i)):
-            dates[i] = m.end()
-    step = [0] * n  # direction of the walk into i: +1 or -1 in the alphabet, 2 a keyboard neighbour
-    for i in range(1, n):
-        d = ord(low[i]) - ord(low[i - 1])
-        step[i] = d if abs(d) == 1 and low[i].isalnum() and low[i - 1].isalnum() else 2 if frozenset(low[i - 1 : i + 1]) in NEXT else 0
-    for i in range(n):
-        start = best[i] + (0.3 if i else 0.0)
-        if best[i] + char < best[i + 1]:
-            best[i + 1] = best[i] + char
+    best, done, queue = {0: 0.0}, set(), [(0.0, 0)]
+    periods: dict[int, tuple[int, int]] = {}
+    walks = (0, 0)
+
+    def offer(at: int, cost: float) -> None:
+        if cost < best.get(at, math.inf):
+            best[at] = cost
+            heapq.heappush(queue, (cost, at))
+
+    while queue:
+        cost, i = heapq.heappop(queue)
+        if i in done:
+            continue
+        if i == n or cost >= enough:
+            return cost
+        done.add(i)
+        start = cost + (0.3 if i else 0.0)
+        offer(i + 1, cost + char)
         for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank, leet = RANK.get(low[i:j]), False
+            rank, leet = ranks.get(low[i:j]), False
             if rank is None:
-                rank, leet = RANK.get(plain[i:j]), True
+                rank, leet = ranks.get(plain[i:j]), True
             if rank is not None:
-                cost = start + math.log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0.0) + (0.5 if leet else 0.0)
-                best[j] = min(best[j], cost)
-        if i in dates:
-            best[dates[i]] = min(best[dates[i]], start + math.log10(365.0 * 120))
-        j = i + 1
-        while j < n and step[j] and (step[j] == step[i + 1]):
-            j += 1
-        for end in range(i + 3, j + 1):
-            best[end] = min(best[end], start + math.log10(26.0 * 2 * (end - i) * (4 if step[i + 1] == 2 else 1)))
+                offer(j, start + math.log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0.0) + (0.5 if leet else 0.0))
+        if low[i].isdigit() and (m := DATE.match(low, i)):
+            offer(m.end(), start + math.log10(365.0 * 120))
+        if i + 1 < n and (step := walk_step(low[i], low[i + 1])):
+            if not walks[0] <= i < walks[1] - 1:
+                e = i + 2
+                while e < n and walk_step(low[e - 1], low[e]) == step:
+                    e += 1
+                walks = (i, e)
+            for e in _ends(i, 3, 1, walks):
+                offer(e, start + math.log10(26.0 * 2 * (e - i) * (4 if step == 2 else 1)))
         for unit in (1, 2, 3, 4):
-            end = i + unit
-            while end + unit <= n and value[end : end + unit] == value[i : i + unit]:
-                end += unit
-                best[end] = min(best[end], start + unit * char + math.log10((end - i) / unit))
+            if i + 2 * unit > n:
+                break
+            if unit not in periods or not periods[unit][0] <= i <= periods[unit][1] - 2 * unit:
+                periods[unit] = (i, _period_end(value, i, unit))
+            for e in _ends(i, 2 * unit, unit, periods[unit]):
+                offer(e, start + unit * char + math.log10((e - i) / unit))
     return best[n]
 
 
+def _period_end(value: str, i: int, unit: int) -> int:
+    """End of the longest run from i in which each character repeats the one ``unit`` before it."""
+    e, step = i + unit, 4096
+    while value[e : e + step] == value[e - unit : e - unit + len(value[e : e + step])] and e < len(value):
+        e += step
+    e = min(e, len(value))
+    while e < len(value) and value[e] == value[e - unit]:
+        e += 1
+    return e
+
+
+def _ends(i: int, least: int, unit: int, run: tuple[int, int]):
+    """Ends of the spans from i in a run: all of a short one, else those near its ends if i is near its start."""
+    last = i + (run[1] - i) // unit * unit
+    if run[1] - run[0] <= 2 * NEAR:
+        yield from range(i + least, last + 1, unit)
+    elif i - run[0] <= NEAR:
+        yield from range(i + least, min(run[0] + NEAR, last) + 1, unit)
+        yield from range(max(i + least, last - NEAR // unit * unit), last + 1, unit)
+    elif run[1] - i <= NEAR:
+        yield from range(i + least, last + 1, unit)
+
+
 def contexts(text: str):
-    """(start, end, whether a sign separates) of the values of CONTEXT, overlapping ones too.
+    """(start, end, whether a sign separates) of the values in credential contexts, overlapping ones too.
 
     A value that is itself a context with a value gives way to it. A bare value ends before a further context behind
     punctuation, and at the quote that stands before its own context.
     """
-    m = CONTEXT.search(text)
-    while m:
-        kind = m.lastgroup
-        a, b = m.span(kind)
-        inner = CONTEXT.search(text, a)
-        if not inner or inner.start() > a:
-            if kind == "bare":
-                if inner and inner.start() < b and text[inner.start() - 1] in BETWEEN:
-                    b = inner.start()
-                before = text[m.start() - 1 : m.start()]
-                if before and before in "\"'" and (end := text.find(before, a, b)) >= 0:
-                    b = end
-                b = a + len(text[a:b].rstrip(AFTER))
-            if b - a >= 6:
-                yield a, b, m["sign"] is not None
-        m = inner
-
-
-def spans_of(text: str, least: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    found, a, stop = [], -1, -1
+    for m in HEAD.finditer(text):
+        a = m.end()
+        quote = text[a : a + 1]
+        if quote in QUOTED and (q := QUOTED[quote].match(text, a)):
+            found.append((m, *q.span(1), True))
+            continue
+        a += quote in QUOTED
+        if stop < a:
+            stop = s.start() if (s := STOP.search(text, a)) else len(text)
+        if stop - a >= LEAST_LENGTH:
+            found.append((m, a, stop, False))
+    for k, (m, a, b, quoted) in enumerate(found):
+        inner = found[k + 1][0].start() if k + 1 < len(found) else len(text)
+        if inner <= a:
+            continue
+        if not quoted:
+            if inner < b and text[inner - 1] in BETWEEN:
+                b = inner
+            before = text[m.start() - 1 : m.start()]
+            if before and before in "\"'" and (end := text.find(before, a, b)) >= 0:
+                b = end
+            while b > a and text[b - 1] in AFTER:
+                b -= 1
+        if b - a >= LEAST_LENGTH:
+            yield a, b, m["sign"] is not None
+
+
+def is_name(value: str) -> bool:
+    """Whether the value only names a secret, or is a link without a user, or one character throughout."""
+    return len(set(value)) < 3 or PLACE.fullmatch(value) is not None or LINK.fullmatch(value) is not None
+
+
+def spans_of(text: str, least: float, ranks: dict[str, int] = RANK) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base and added spans as (start, kind, end), in that order."""
     base = []
     low = text.lower()
     cues = any(c in low for c in CUES)
     if cues:
         base += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    assigned = [s for s, _, _ in base]
     if "AKIA" in text:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     added = []
     if cues:
         for a, b, sign in contexts(text):
-            b = next((s for s, k, _ in base if k == 0 and a < s < b), b)  # a further assignment
-            value = text[a:b].rstrip(AFTER)
-            b = a + len(value)
-            if len(value) < 6 or added and b <= added[-1][2] or any(s < b and a < e for s, _, e in base):
+            k = bisect_right(assigned, a)
+            if k < len(assigned):  # a further assignment
+                b = min(b, assigned[k])
+            while b > a and text[b - 1] in AFTER:
+                b -= 1
+            if b - a < LEAST_LENGTH or added and b <= added[-1][2]:
                 continue
-            if (sign or not PROSE.fullmatch(value.rstrip(".!?:)"))) and guess_cost(value) >= least:
+            k = bisect_left(starts, b)
+            if k and reach[k - 1] > a:
+                continue
+            value = text[a:b]
+            if (sign or not PROSE.fullmatch(value.rstrip(".!?:)"))) and not is_name(value) and guess_cost(value, ranks, least) >= least:
                 added.append((a, 3, b))
     return base, added
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_guesses: float = 9.0) -> DataFrame:
+def learn_words(docs: DataFrame, text_col: str, size: int) -> dict[str, int]:
+    """Ranks of the ``size`` words that most texts of the corpus have, and of the fixed list, which comes first.
+
+    All whole texts are counted. What stands in a credential context doesn't count, so a secret that thousands of copies
+    hold doesn't become a word.
+    """
+
+    def count(found):
+        seen: Counter = Counter()
+        for b in found:
+            for text in b.column(0).to_pylist():
+                if not text:
+                    continue
+                low = _lower(text)
+                if any(c in low for c in CUES):
+                    parts, at = [], 0
+                    for a, e, _ in contexts(text):
+                        parts.append(low[at:a])
+                        at = max(at, e)
+                    low = " ".join([*parts, low[at:]])
+                seen.update(set(LETTERS.findall(low)))
+                if len(seen) > 500_000:
+                    yield _words(seen)
+                    seen.clear()
+        yield _words(seen)
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.where("n > 2").orderBy(F.col("n").desc(), "word").limit(size).collect()  # ``size`` words of up to LONGEST letters
+    ranks = dict(RANK)
+    for r in top:
+        ranks.setdefault(r.word, len(ranks) + 1)
+    return ranks
+
+
+def _words(seen: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_guesses: float = 9.0, dictionary: int = DICTIONARY) -> DataFrame:
     """Secrets of every whole text: counts of the base kinds, digest of the base spans and all spans.
 
     Base spans are whole matches of the fixed patterns. The method adds spans of kind ``guess``: values in a wider
     credential context whose cheapest segmentation needs at least 10**least_guesses guesses and that meet no base span.
-    Only where nothing but white space separates, values like ordinary words (letters in lower case, capitalised or in
-    capitals throughout) are left out. Contexts may overlap: in "secret token: x" the value is x, and a
-    value within a reported one isn't reported again. Offsets are in code points, ends exclusive.
+    Its dictionary is a fixed list and the ``dictionary`` words that most texts of ``docs`` have. Values that only name a
+    secret (variables, templates, calls) and links without a user are left out; so are, where nothing but white space
+    separates, values like ordinary words (letters in lower case, capitalised or in capitals throughout). Contexts may
+    overlap: in "secret token: x" the value is x, and a value within a reported one isn't reported again. Offsets are in
+    code points, ends exclusive.
 
-    Null text is an empty one: zero counts, digest of the empty string, no spans. Rows are judged one by one, so repeated
-    rows repeat their result. An empty table gives an empty result. Other columns of ``docs`` are ignored.
+    * Null text is an empty one: zero counts, digest of the empty string, no spans; so has a text without contexts.
+    * Very long texts and values are read whole; a value's cost is found in time linear in it.
+    * Rows are judged one by one, so repeated rows repeat their result. Spans of one start come in the order of KINDS.
+    * An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(learn_words(docs, text_col, dictionary))  # at most ``dictionary`` words
 
     def scan(found):
+        ranks = shared.value
         for batch in found:
             rows = []
             for text in batch.column(1):
-                base, added = spans_of(text.as_py() or "", least_guesses)
+                base, added = spans_of(text.as_py() or "", least_guesses, ranks)
                 kinds = [k for _, k, _ in base]
                 name = [f"{KINDS[k]}:{a}:{b}" for a, k, b in base]
                 both = [f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + added)]

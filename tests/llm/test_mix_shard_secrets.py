@@ -1,9 +1,13 @@
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from cleaveset.llm import mixing, secrets, sharding
 
@@ -154,3 +158,82 @@ def test_values_side_by_side():
     assert [text[a:b] for a, _, b in base + added] == ["token=abcdefgh1", "Zq8!vR#2kL$", "Xy7!kk#2pQ$z", "Kq!8$kLpZv"]
     for text in ("the token classification", "bearer Certificates", 'secret "love of money"', "pwd: password", "pwd = 'abc' or 'defghi'"):
         assert secrets.spans_of(text, 9.0) == ([], [])
+
+
+def slow_cost(value, ranks):
+    """The same minimum by trying every span of every position."""
+    low = value.lower()
+    plain = low.translate(secrets.LEET)
+    char, n = secrets._brute(value), len(value)
+    best = [0.0] + [math.inf] * n
+    for i in range(n):
+        start = best[i] + (0.3 if i else 0.0)
+        best[i + 1] = min(best[i + 1], best[i] + char)
+        for j in range(i + 2, n + 1):
+            span, cost = value[i:j], []
+            for word, leet in ((low[i:j], 0.0), (plain[i:j], 0.5)):
+                if 3 <= j - i <= secrets.LONGEST and word in ranks and not (leet and low[i:j] in ranks):
+                    cost.append(math.log10(ranks[word] + 1) + 0.3 * (span != low[i:j]) + leet)
+            if (m := secrets.DATE.match(low, i)) and m.end() == j:
+                cost.append(math.log10(365.0 * 120))
+            steps = {secrets.walk_step(a, b) for a, b in zip(low[i:j], low[i + 1 : j])}
+            if j - i >= 3 and len(steps) == 1 and (step := steps.pop()):
+                cost.append(math.log10(52.0 * (j - i) * (4 if step == 2 else 1)))
+            for unit in (1, 2, 3, 4):
+                if (j - i) % unit == 0 and j - i >= 2 * unit and span == span[:unit] * ((j - i) // unit):
+                    cost.append(unit * char + math.log10((j - i) / unit))
+            if cost:
+                best[j] = min(best[j], start + min(cost))
+    return best[n]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["password", "horse", "aaaa", "abab", "qwert", "12345", "1987", "2011-03-04", "P@ss", "x", "Z", "9", "!", "-", "ab", "fedc"]), max_size=7))
+def test_guess_cost_matches_brute_force(parts):
+    value = "".join(parts)
+    ranks = {**secrets.RANK, "horse": 700, "pass": 4}
+    assert secrets.guess_cost(value, ranks) == pytest.approx(slow_cost(value, ranks))
+    assert (secrets.guess_cost(value, ranks, 6.0) >= 6.0) == (slow_cost(value, ranks) >= 6.0)
+
+
+@pytest.mark.parametrize("value", ["-" * 1_000_000, "ab" * 500_000, "Xq9!" * 250_000, "password" * 100_000, "".join(chr(33 + i * i % 90) for i in range(1_000_000)), "qw" * 400_000 + "e"])
+def test_long_values_take_no_longer(value):
+    start = time.time()
+    secrets.guess_cost(value, secrets.RANK, 9.0)
+    secrets.spans_of("pwd=" + value, 9.0)
+    assert time.time() - start < 2.5
+    start = time.time()
+    secrets.spans_of("secret=" * 60_000 + " pass " * 60_000, 9.0)
+    assert time.time() - start < 5
+
+
+NAMES = ["${SECRET_KEY}", "$DB_PASSWORD", "{{ vault_password }}", "<your-token-here>", "https://example.com/login", "os.environ['API_KEY']", "getenv('X')", "$ANSIBLE_VAULT;1.1", "$(cat /run/secret)", "xxxxxxxxxxxx", "------------", "settings.database_password"]
+
+
+@pytest.mark.parametrize("value", NAMES)
+def test_names_are_no_secrets(value):
+    base, added = secrets.spans_of(f"pwd: {value}", 9.0)
+    assert added == []
+
+
+def test_planted_secrets(spark):
+    """Random secrets of several makes in several contexts; the corpus itself has none of the added kind."""
+    rng = random.Random(11)
+    alphabet = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789!#$%&*+-?@^_"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    shapes = ["pwd={}", "passphrase: {}", "the password is {} for now", "bearer {}", 'credential="{}"', "secret token: {}", "access_key => {}", "{{'auth_key': '{}'}}"]
+    want = {}
+    for k in range(160):
+        value = rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") + "".join(rng.choice(alphabet) for _ in range(rng.randrange(9, 24))) + rng.choice("23456789")
+        i, t = docs[k]
+        lead = (t or "") + " -- " + shapes[k % 8].split("{}")[0].replace("{{", "{")
+        docs[k] = (i, lead + value + shapes[k % 8].split("{}")[1].replace("}}", "}"))
+        want[i] = (len(lead), len(lead) + len(value))
+    found = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    hit = 0
+    for i, (a, b) in want.items():
+        spans = [s.split(":") for s in found[i].spans.split(",") if s]
+        hit += any((k == "guess" and (int(s), int(e)) == (a, b)) or (k == "assign" and int(s) < b and a < int(e)) for k, s, e in spans)
+    assert hit >= 0.95 * len(want), hit
+    assert sum(r.n_guess for i, r in found.items() if i not in want) == 0
+    print("planted found", hit, "of", len(want))
