@@ -107,7 +107,7 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_languag
     own = train.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     own = own.where(F.col("i").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     languages = own.select("lang").distinct().count()
-    chosen = hash_sample(own, "lang", min(per_language, max(1, SAMPLE // max(1, languages))), "text", F.md5("text"))
+    chosen = hash_sample(own, "lang", languages, min(per_language, max(1, SAMPLE // max(1, languages))), "text", F.md5("text"))
 
     def run(found):
         for b in found:

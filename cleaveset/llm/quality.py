@@ -174,7 +174,7 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table = dict(zip(codes.tolist(), post.tolist()))
     sides = spark.createDataFrame([(c, int(p >= 0.5)) for c, p in table.items()], "pattern int, side int")
     own = seen.where(F.col("doc_id").isNotNull()).join(F.broadcast(sides), "pattern")  # at most 3 ** 9 patterns
-    sample = hash_sample(own.select(F.col("doc_id").alias("i"), "side", F.struct("pattern", "f").alias("v")), "side", per_side, "v", F.md5("v.f"))
+    sample = hash_sample(own.select(F.col("doc_id").alias("i"), "side", F.struct("pattern", "f").alias("v")), "side", 2, per_side, "v", F.md5("v.f"))
     data = sample.select("side", "rank", "v.pattern", "v.f").collect()  # at most 2 * per_side rows of 2 * BUCKETS bytes
     data.sort(key=lambda r: (r.side, r["rank"]))
     w, bias = train([(table[r.pattern], unpacked(bytes(r.f))) for r in data]) if data else (np.zeros(BUCKETS), 0.0)

@@ -116,7 +116,7 @@ def fit(rows: DataFrame, labels: DataFrame, per_label: int, lexicon: int = LEXIC
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     totals = dict(known.groupBy("toxic").count().collect())  # two rows
     ids = known.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("toxic"), F.lit(0).alias("v"))
-    chosen = hash_sample(ids, "toxic", per_label, "v", F.lit(0)).select(F.col("i").alias("doc_id"), "toxic", (F.col("rank") % 2).alias("fold"))
+    chosen = hash_sample(ids, "toxic", 2, per_label, "v", F.lit(0)).select(F.col("i").alias("doc_id"), "toxic", (F.col("rank") % 2).alias("fold"))
     have = rows.withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(chosen), "doc_id")  # at most per_label of each label
     sample = have.groupBy("doc_id", "fold", "toxic").agg(F.min_by("text", F.md5("text")).alias("text")).select(F.col("fold").cast("int").alias("fold"), "toxic", "text")
 

@@ -72,7 +72,7 @@ def test_language_matches_brute_force(spark):
 def test_repeated_ids_are_bounded(spark):
     docs = repeated(spark)
     own = docs.selectExpr("doc_id AS i", "lang", "text")
-    sample = hash_sample(own, "lang", 20, "text", F.md5("text")).collect()
+    sample = hash_sample(own, "lang", 3, 20, "text", F.md5("text")).collect()
     assert len(sample) == len({(r.lang, r.i, r.text) for r in sample}) and all(sum(r.lang == x for r in sample) <= 20 for x in ("en", "de", "fr"))
     assert len(langid.identify(docs).collect()) == docs.count()
     labels = spark.createDataFrame([(7, 1), (7, 0)] + [(100 + k, k % 2) for k in range(60)], "doc_id long, toxic int")
