@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cleaveset.llm._store import Store
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs, as [0-9a-f]+ of 32 and more
@@ -45,7 +47,7 @@ WORDS = (
     "einen haus passwort geheim schule sommer winter contraseña clave secreto casa amor motdepasse secret bonjour soleil maison azerty"
 ).split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-#: Words that the scan learns from its corpus, and their longest length.
+#: Words that the scan learns from its corpus at most, and their longest length.
 DICTIONARY, LONGEST = 50_000, 24
 LETTERS = re.compile(r"[^\W\d_]{3,24}")
 LEET = str.maketrans("4@3!10$57", "aaeiiosst")
@@ -228,9 +230,9 @@ def spans_of(text: str, least: float, ranks: dict[str, int] = RANK) -> tuple[lis
 
 
 def learn_words(docs: DataFrame, text_col: str, size: int) -> dict[str, int]:
-    """Ranks of the ``size`` words that most texts of the corpus have, and of the fixed list, which comes first.
+    """Ranks of the words that most texts of the corpus have, at most ``size``, and of the fixed list, which comes first.
 
-    All whole texts are counted. What stands in a credential context doesn't count, so a secret that thousands of copies
+    All whole texts are counted; words of one count are in together or not at all. What stands in a credential context doesn't count, so a secret that thousands of copies
     hold doesn't become a word.
     """
 
@@ -254,7 +256,17 @@ def learn_words(docs: DataFrame, text_col: str, size: int) -> dict[str, int]:
         yield _words(seen)
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.where("n > 2").orderBy(F.col("n").desc(), "word").limit(size).collect()  # ``size`` words of up to LONGEST letters
+    counted = Store(docs.sparkSession).keep(counted.where("n > 2"), "words")
+    step = F.when(F.col("n") <= 1000, F.col("n")).otherwise(1000 + F.floor((F.log("n") - math.log(1000)) * 200)).cast("long")  # steps of half a percent above
+    steps = sorted(((r.s, r.k) for r in counted.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect()), reverse=True)  # under 10,000 of them
+    least, taken = math.inf, 0
+    for s, k in steps:
+        taken += k
+        if taken > size:
+            break
+        least = s
+    top = counted.where(step >= least).collect() if steps and least < math.inf else []  # at most ``size`` words of up to LONGEST letters
+    top.sort(key=lambda r: (-r.n, r.word))
     ranks = dict(RANK)
     for r in top:
         ranks.setdefault(r.word, len(ranks) + 1)
