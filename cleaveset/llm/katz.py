@@ -312,6 +312,7 @@ class Level:
         weight = np.where(self.count > 0, left / np.maximum(1.0 - self.seen, 1e-300), 1.0)
         back = np.log10(np.maximum(weight, 1e-300))[self.h] + below[self.token]
         self.total = np.where(self.full, count + 1, np.maximum(count, 1))
+        del self.sums, self.seen, seen, left, weight
         direct = d[np.minimum(self.n, CUT + 1)] * self.n / self.total[self.h]
         return np.where(self.n > 0, np.log10(np.where(self.n > 0, direct, 1.0)), back)
 
@@ -352,6 +353,8 @@ class Chunk:
                 break
             level.answer(order, [x for x in replies if x["kind"] == order])
             self.value = level.probabilities(order, self.value)[gram]
+            if order == orders:
+                break
             key, count = _joined(level.key[level.h], level.id, narrow and order == 2), level.n
             spare = level.spare
             m, den = level.n[gram], level.total[level.h][gram]
@@ -400,7 +403,7 @@ def _ngrams(table: DataFrame, replies: DataFrame, model, order: int, narrow: boo
     return asked.repartition(min(ranges, PARTITIONS), "range").groupBy("range").applyInArrow(count, REPLY)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, order: int = ORDER, chunk_tokens: int = 1_500_000, range_entries: int = 400_000) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, order: int = ORDER, chunk_tokens: int = 1_000_000, range_entries: int = 400_000) -> DataFrame:
     """Base and Katz log10 probabilities of every whole text; rows with crc32(id as text) mod modulus = remainder are held out of training.
 
     The model backs off from ``order`` (at least 2) down to single words, recursively for each token: an n-gram that
