@@ -192,7 +192,9 @@ def _word_counts(table: DataFrame, ranges: int) -> DataFrame:
         u, _, at = grouped(np.concatenate(words))
         total, spare = (np.bincount(at, np.concatenate([unpack(x.as_py()) for x in t[c]]).astype(float), len(u)).astype(np.int64) for c in ("counts", "spare"))
         cut = np.cumsum([0, *map(len, words)])
-        out = [(0, c.as_py(), r, pack(total[at[cut[k] : cut[k + 1]]]), pack(at[cut[k] : cut[k + 1]].astype(np.uint64) * np.uint64(ranges) + np.uint64(r)), pack(spare[at[cut[k] : cut[k + 1]]])) for k, c in enumerate(t["chunk"])]
+        rank = np.empty(len(u), np.uint64)  # frequent words have small ids, which compress well
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(u), dtype=np.uint64)
+        out = [(0, c.as_py(), r, pack(total[at[cut[k] : cut[k + 1]]]), pack(rank[at[cut[k] : cut[k + 1]]] * np.uint64(ranges) + np.uint64(r)), pack(spare[at[cut[k] : cut[k + 1]]])) for k, c in enumerate(t["chunk"])]
         stats = np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3), [len(u)]])
         return _reply([*out, (9, -1, r, stats.astype(np.int64).tobytes())])
 
@@ -403,7 +405,7 @@ def _ngrams(table: DataFrame, replies: DataFrame, model, order: int, narrow: boo
     return asked.repartition(min(ranges, PARTITIONS), "range").groupBy("range").applyInArrow(count, REPLY)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, order: int = ORDER, chunk_tokens: int = 1_000_000, range_entries: int = 400_000) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, order: int = ORDER, chunk_tokens: int = 1_000_000, range_entries: int = 1_500_000) -> DataFrame:
     """Base and Katz log10 probabilities of every whole text; rows with crc32(id as text) mod modulus = remainder are held out of training.
 
     The model backs off from ``order`` (at least 2) down to single words, recursively for each token: an n-gram that
