@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cleaveset.llm._rows import filter_rows
-from cleaveset.llm._words import batches
+from cleaveset.llm._store import Store
+from cleaveset.llm._words import batches, runs
 
 BLOCK = 16  # words
 SPAN = 4  # blocks of a window; passages of the SVD are half as long
 FREQUENT = 256  # terms that are held dense
-#: Items of one round; more items take further rounds over the documents, so what is broadcast stays bounded.
-ITEMS, ITEM_WORDS = 2000, 400_000
+#: Items and words of one round, and bytes of its table of words by item parts. More items take further rounds, of which
+#: PASS are searched for in one pass over the documents, so what is held and broadcast at once stays bounded.
+ITEMS, ITEM_WORDS, TABLE = 2000, 400_000, 64_000_000
+PASS = 4
+#: Items of fewer words are found as exact runs of words; too little is left of them for a latent space.
 LEAST_WORDS = 5
 #: A window that starts at each block holds at least this share of an item's part in it, so a leak has that share of
 #: ``paraphrase`` of the part's words (as a multiset) in its best window; windows with fewer of them aren't compared word by word.
@@ -165,6 +169,7 @@ class Index:
 
     def __init__(self, ids: list, words: list[np.ndarray], terms: Terms, idf: np.ndarray, basis: np.ndarray, cosine: float, energy: float, alike: float, verbatim: float, paraphrase: float, answer: float, answer_words: int):
         self.ids, self.hashes = ids, terms.hashes
+        self.short = None
         self.weight = idf
         self.project = (basis * idf[:, None]).astype(np.float32)
         self.cosine, self.alike, self.verbatim, self.paraphrase, self.answer, self.answer_words = cosine, alike, verbatim, paraphrase, answer, answer_words
@@ -178,7 +183,7 @@ class Index:
             parts = max(1, round(len(w) / size))
             for part in np.array_split(np.array(w, np.int64), parts):  # a long item asks by its parts
                 v = np.bincount(part, minlength=len(idf))
-                member.append(v.astype(np.int16))
+                member.append(np.minimum(v, 255).astype(np.uint8))
                 v = v * idf
                 rows.append(v @ basis)
                 mass.append((v * v).sum())
@@ -206,7 +211,7 @@ class Index:
         return (share, answer) if share >= self.verbatim or answer >= self.answer and cosine >= self.alike else None
 
     def search(self, h: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
-        """(row, item) -> (cosine, share, answer share) of the leaks in the rows of a slice."""
+        """(row, item) -> (cosine, share, answer share) of the leaks in the rows of a slice; of equal shares the largest cosine."""
         terms = Terms.__new__(Terms)
         terms.hashes = self.hashes
         term = terms.ids(h)
@@ -255,54 +260,101 @@ class Index:
             for w, q in zip(pair_w[good], pair_q[good]):
                 k = int(self.owner[q])
                 key = (int(r[w]), k)
-                if key in out and out[key][1] >= 1.0:
+                if key in out and out[key][1] >= 1.0 and out[key][0] >= score[w, q]:
                     continue
                 margin = len(self.items[k])
                 found = self.verify(k, term[max(bounds[r[w]], start[w] - margin) : min(bounds[r[w] + 1], stop[w] + margin)].tolist(), float(score[w, q]))
-                if found and (key not in out or found > out[key][1:]):
+                if found and (key not in out or (*found, float(score[w, q])) > (*out[key][1:], out[key][0])):
                     out[key] = (float(score[w, q]), *found)
         return out
 
 
-def build(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, rank: int = 160, oversample: int = 16, cosine: float = 0.25, energy: float = 0.2, alike: float = 0.4, verbatim: float = 0.75, paraphrase: float = 0.6, answer: float = 0.6, answer_words: int = 8, seed: int = 3) -> list:
-    """Broadcast indexes over the benchmark, one for each round of at most ITEMS items."""
+class Short:
+    """Items of one to LEAST_WORDS - 1 words, found as exact runs."""
+
+    def __init__(self, ids: list, words: list[np.ndarray]):
+        self.ids = ids
+        self.verbatim = 0.0
+        self.tables = {}
+        for n in sorted({len(w) for w in words}):
+            own = [k for k, w in enumerate(words) if len(w) == n]
+            key = np.array([runs(words[k], n)[0] for k in own], np.uint64)
+            order = np.argsort(key, kind="stable")
+            self.tables[n] = key[order], np.array(own)[order]
+
+    def search(self, h: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
+        out = {}
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        for n, (key, owner) in self.tables.items():
+            found = runs(h, n)
+            low, high = np.searchsorted(key, found), np.searchsorted(key, found, "right")
+            for i in np.flatnonzero((low < high) & (row[: len(found)] == row[n - 1 :])):
+                for k in owner[low[i] : high[i]]:
+                    out[int(row[i]), int(k)] = (1.0, 1.0, 1.0)
+        return out
+
+
+def rounds_of(benchmark: DataFrame, item_col: str, item_text: str):
+    """Lists of (item, word hashes) of bounded size, fetched piece by piece: long items in rounds, short ones in theirs."""
+    asked = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
+    long: list = []
+    short: list = []
+    held, parts, seen = 0, 0, set()
+    for row in asked.orderBy("item_id", "text").toLocalIterator():
+        h = next(iter(batches(pa.array([row.text]))), (0, 0, np.zeros(0, np.uint64), None))[2]
+        if not len(h):
+            continue
+        if len(h) < LEAST_WORDS:
+            short.append((row.item_id, h))
+            if len(short) == 50 * ITEMS:
+                yield short
+                short = []
+            continue
+        more = max(1, round(len(h) / (BLOCK * (SPAN - 1))))
+        if long and (len(long) == ITEMS or held + len(h) > ITEM_WORDS or (parts + more) * len(seen | set(h.tolist())) > TABLE):
+            yield long
+            long, held, parts, seen = [], 0, 0, set()
+        long.append((row.item_id, h))
+        held, parts = held + len(h), parts + more
+        seen.update(h.tolist())
+    for rest in (long, short):
+        if rest:
+            yield rest
+
+
+def passes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, rank: int = 160, oversample: int = 16, cosine: float = 0.25, energy: float = 0.2, alike: float = 0.4, verbatim: float = 0.75, paraphrase: float = 0.6, answer: float = 0.6, answer_words: int = 8, seed: int = 3):
+    """Lists of at most PASS broadcast indexes over the items."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
-    asked = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    found = []
-    for row in asked.orderBy("item_id", "text").toLocalIterator():  # fetched in pieces, held in rounds
-        h = next(iter(batches(pa.array([row.text]))), (0, 0, np.zeros(0, np.uint64), None))[2]
-        if len(h) >= LEAST_WORDS:
-            found.append((row.item_id, h))
-    rounds, held = [], 0
-    for item in found:
-        if not rounds or len(rounds[-1]) == ITEMS or held + len(item[1]) > ITEM_WORDS:
-            rounds.append([])
-            held = 0
-        rounds[-1].append(item)
-        held += len(item[1])
     out = []
-    for part in rounds:
-        words = [h for _, h in part]
-        terms = Terms(words)
-        d = len(terms)
-        vocabulary = spark.sparkContext.broadcast(terms.hashes)
-        df, n = _frequencies(texts, vocabulary)
-        idf = np.log((n + 1.0) / (df + 1.0)) + 0.05
-        width = min(d, rank + oversample)
-        if width == d:
-            basis = np.eye(d)
+    for part in rounds_of(benchmark, item_col, item_text):
+        ids, words = [i for i, _ in part], [h for _, h in part]
+        if len(words[0]) < LEAST_WORDS:
+            out.append(spark.sparkContext.broadcast(Short(ids, words)))  # at most 50 * ITEMS items of four words
         else:
-            omega = np.linalg.qr(np.random.RandomState(seed).randn(d, width))[0].astype(np.float32)
-            dense = np.sort(np.argsort(-df, kind="stable")[: min(FREQUENT, d)])
-            y = _sketch(texts, vocabulary, idf, dense, omega)
-            rows = np.array([np.bincount(terms.ids(w), minlength=d) * idf for w in words])
-            rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-            weight = max(1.0, n / len(rows))  # the items weigh as much as the passages, so the space keeps them apart
-            y += weight * (rows.T @ (rows @ omega))
-            basis = eigenvectors(y, omega.astype(np.float64), rank)
-        out.append(spark.sparkContext.broadcast(Index([i for i, _ in part], words, terms, idf, basis, cosine, energy, alike, verbatim, paraphrase, answer, answer_words)))
-    return out
+            terms = Terms(words)
+            d = len(terms)
+            vocabulary = spark.sparkContext.broadcast(terms.hashes)
+            df, n = _frequencies(texts, vocabulary)
+            idf = np.log((n + 1.0) / (df + 1.0)) + 0.05
+            width = min(d, rank + oversample)
+            if width == d:
+                basis = np.eye(d)  # the sketch would span every term: the space is the terms' own
+            else:
+                omega = np.linalg.qr(np.random.RandomState(seed).randn(d, width))[0].astype(np.float32)
+                dense = np.sort(np.argsort(-df, kind="stable")[: min(FREQUENT, d)])
+                y = _sketch(texts, vocabulary, idf, dense, omega)
+                rows = np.array([np.bincount(terms.ids(w), minlength=d) * idf for w in words])
+                rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+                weight = max(1.0, n / len(rows))  # the items weigh as much as the passages, so the space keeps them apart
+                y += weight * (rows.T @ (rows @ omega))
+                basis = eigenvectors(y, omega.astype(np.float64), rank)
+            out.append(spark.sparkContext.broadcast(Index(ids, words, terms, idf, basis, cosine, energy, alike, verbatim, paraphrase, answer, answer_words)))  # bounded by TABLE and ITEM_WORDS
+        if len(out) == PASS:
+            yield out
+            out = []
+    if out:
+        yield out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **parameters) -> DataFrame:
@@ -312,48 +364,85 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     words; a pair is a leak if lcs is at least ``verbatim``, or at least ``paraphrase`` with ``answer`` of the answer
     and a cosine of at least ``alike``.
 
-    Null or empty texts hold nothing. Items that are null, repeated or of fewer than five words are not searched for.
-    Repeated rows repeat their pairs; rows with a null id give pairs with a null id. An empty table on either side gives
-    an empty result; other columns are ignored.
+    Candidates are windows of SPAN blocks whose latent cosine with an item's part is at least ``cosine``, whose terms of
+    the benchmark carry a share of ``energy`` of the least item's weight, and which hold at least OVERLAP *
+    ``paraphrase`` of the part's words. Of the windows that show a leak, the one with the largest lcs, then answer, then
+    cosine is reported. Items of fewer than LEAST_WORDS words are found as exact runs of words (cosine 1).
+
+    * Null or empty texts hold nothing. Items that are null or without words aren't searched for, repeated ones once; an
+      item with a null id gives pairs with a null item_id.
+    * Repeated rows repeat their pairs; rows with a null id give pairs with a null id. Very long texts are searched whole,
+      window by window. Ties between windows of equal measures give the same pair.
+    * An empty table on either side gives an empty result; other columns are ignored, whatever their names.
     """
-    indexes = build(docs, benchmark, id_col, text_col, item_col, item_text, **parameters)
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-
-    def run(found):
-        for b in found:
-            rows, items, values = [], [], []
-            for shared in indexes:
-                index = shared.value
-                for a, _, h, bounds in batches(b.column(1)):
-                    for (r, k), v in sorted(index.search(h, bounds).items()):
-                        rows.append(a + r)
-                        items.append(index.ids[k])
-                        values.append(v)
-            cosine, share, answer = (pa.array([v[j] for v in values], pa.float64()) for j in range(3))
-            verdict = pa.array(["verbatim" if v[1] >= 1.0 else "near" if v[1] >= index.verbatim else "paraphrase" for v in values], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(items, item_type), cosine, share, answer, verdict], ["doc_id", "item_id", "cosine", "lcs", "answer", "verdict"])
-
     schema = f"doc_id {kind}, item_id {item_kind}, cosine double, lcs double, answer double, verdict string"
-    if not indexes:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    store = None
+    out, waiting = None, None
+
+    def searched(indexes: list) -> DataFrame:
+        def run(found):
+            for b in found:
+                rows, items, values, verdict = [], [], [], []
+                for shared in indexes:
+                    index = shared.value
+                    for a, _, h, bounds in batches(b.column(1)):
+                        for (r, k), v in sorted(index.search(h, bounds).items()):
+                            rows.append(a + r)
+                            items.append(index.ids[k])
+                            values.append(v)
+                            verdict.append("verbatim" if v[1] >= 1.0 else "near" if v[1] >= index.verbatim else "paraphrase")
+                cosine, share, answer = (pa.array([v[j] for v in values], pa.float64()) for j in range(3))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(items, item_type), cosine, share, answer, pa.array(verdict, pa.string())], ["doc_id", "item_id", "cosine", "lcs", "answer", "verdict"])
+
+        return rows.mapInArrow(run, schema)
+
+    for number, indexes in enumerate(passes(docs, benchmark, text_col, item_col, item_text, **parameters)):
+        if waiting is not None:  # several passes: each is written, and its indexes are freed
+            store = store or Store(docs.sparkSession)
+            done = store.keep(searched(waiting), f"leaks-{number}")
+            out = done if out is None else out.unionByName(done)
+            for shared in waiting:
+                shared.unpersist()
+        waiting = indexes
+    if waiting is None:
         return docs.sparkSession.createDataFrame([], schema)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return searched(waiting) if out is None else out.unionByName(searched(waiting))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **parameters) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item, with their columns."""
-    indexes = build(docs, benchmark, id_col, text_col, item_col, item_text, **parameters)
-
-    def judge():
-        def keep(column: pa.Array) -> pa.Array:
-            clean = np.ones(len(column), bool)
-            for shared in indexes:
-                for a, _, h, bounds in batches(column):
-                    for r, _ in shared.value.search(h, bounds):
-                        clean[a + r] = False
-            return pa.array(clean)
+    """The rows of ``docs`` whose text holds no benchmark item, with all their columns.
 
-        return keep
+    Rows are judged as in ``find_leaks``: null and empty texts stay, items with a null id count, repeated rows go or stay
+    together, very long texts are searched whole; an empty table gives an empty one, an empty benchmark takes nothing.
+    Columns are carried by place, so no name can clash.
+    """
 
-    return filter_rows(docs, text_col, judge) if indexes else docs
+    def clean(rows: DataFrame, indexes: list) -> DataFrame:
+        def judge():
+            def keep(column: pa.Array) -> pa.Array:
+                good = np.ones(len(column), bool)
+                for shared in indexes:
+                    for a, _, h, bounds in batches(column):
+                        for r, _ in shared.value.search(h, bounds):
+                            good[a + r] = False
+                return pa.array(good)
+
+            return keep
+
+        return filter_rows(rows, text_col, judge)
+
+    left, waiting, store = docs, None, None
+    for number, indexes in enumerate(passes(docs, benchmark, text_col, item_col, item_text, **parameters)):
+        if waiting is not None:
+            store = store or Store(docs.sparkSession)
+            plain = left.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+            kept = clean(plain.toDF(*docs.columns), waiting).toDF(*plain.columns)
+            left = store.keep(kept, f"left-{number}").toDF(*docs.columns)
+            for shared in waiting:
+                shared.unpersist()
+        waiting = indexes
+    return docs if waiting is None else clean(left, waiting)

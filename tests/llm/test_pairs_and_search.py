@@ -180,12 +180,79 @@ def test_leaks_match_brute_force(spark, sf_dir):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(texts) - {d for d, _ in clean}
 
 
-def test_leaks_awkward(spark):
-    bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog"), (2, None), (3, "two words"), (None, "a b c d e f g"), (1, "The quick brown fox jumps over the lazy dog")], "item_id long, text string")
-    rows = decontaminate.find_leaks(awkward(spark), bench).collect()
-    assert sorted(r.doc_id for r in rows) == [1, 2, 2, 7] and {r.item_id for r in rows} == {1}
+def rewritten(words, rng, kind):
+    """A paraphrase of an item: words swapped for others, put in, left out, or its parts in another order."""
+    w = list(words)
+    if kind == "swap":
+        return [x if rng.random() > 0.2 else f"other{rng.randrange(40)}" for x in w]
+    if kind == "insert":
+        return [y for x in w for y in ([x, f"more{rng.randrange(40)}"] if rng.random() < 0.25 else [x])]
+    if kind == "drop":
+        return [x for x in w if rng.random() > 0.15]
+    for _ in range(max(1, len(w) // 12)):
+        i = rng.randrange(len(w) - 1)
+        w[i], w[i + 1] = w[i + 1], w[i]
+    return w
+
+
+def test_leaks_follow_the_documented_rule(spark, sf_dir):
+    """Every window of every text against every item, without candidate search: the same pairs and measures."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(15)
+    items = {r.item_id: r.text for r in bench.collect()}
+    rng = random.Random(4)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(25).collect()]
+    kinds = ["swap", "insert", "drop", "move"]
+    planted = []
+    for k in range(40):
+        i = sorted(items)[k % len(items)]
+        noise = [f"noise{rng.randrange(99)}" for _ in range(rng.randrange(60, 160))]
+        at = rng.randrange(len(noise))
+        docs.append((10**6 + k, " ".join(noise[:at] + rewritten(items[i].split(), rng, kinds[k % 4]) + noise[at:])))
+        planted.append((10**6 + k, i))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.lcs, r.answer, r.cosine) for r in decontaminate.find_leaks(df, bench).collect()}
+    (shared,) = next(decontaminate.passes(df, bench, "text", "item_id", "text"))
+    index = shared.value
+    terms = decontaminate.Terms.__new__(decontaminate.Terms)
+    terms.hashes = index.hashes
+    want = {}
+    for d, t in docs:
+        h = next(iter(decontaminate.batches(__import__("pyarrow").array([t]))))[2]
+        term = terms.ids(h).tolist()
+        for start in range(0, len(term), decontaminate.BLOCK):
+            stop = min(len(term), start + decontaminate.BLOCK * decontaminate.SPAN)
+            v = sum((index.project[x].astype(float) for x in term[start:stop] if x >= 0), np.zeros(index.project.shape[1]))
+            for q, k in enumerate(index.owner):
+                own = index.items[k]
+                cosine = float(v @ index.queries[q] / max(np.linalg.norm(v), 1e-30))
+                if cosine < index.cosine:
+                    continue
+                span = term[max(0, start - len(own)) : stop + len(own)]
+                share, answer = lcs(own, span) / len(own), lcs(own[-8:], span) / min(8, len(own))
+                if share >= 0.75 or share >= 0.6 and answer >= 0.6 and cosine >= 0.4:
+                    key = d, index.ids[k]
+                    want[key] = max(want.get(key, (0, 0, 0)), (share, answer, cosine))
+    assert set(found) == set(want)
+    for key in want:
+        assert found[key] == pytest.approx(want[key], abs=1e-4)
+    hit = sum(p in found for p in planted)
+    assert hit >= 0.95 * len(planted), hit
+    print("paraphrases found", hit, "of", len(planted))
+
+
+def test_leaks_awkward(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog"), (2, None), (3, "Kurzer SATZ"), (4, "12345"), (5, ""), (None, "fox jumps over the lazy dog and runs far"), (1, "The quick brown fox jumps over the lazy dog")], "item_id long, text string")
+    docs = awkward(spark)
+    for size in (decontaminate.ITEMS, 1):  # one round, and one for each item
+        monkeypatch.setattr(decontaminate, "ITEMS", size)
+        monkeypatch.setattr(decontaminate, "PASS", size if size == 1 else 4)
+        rows = decontaminate.find_leaks(docs, bench).collect()
+        assert sorted((r.doc_id, r.item_id or 0) for r in rows) == [(1, 0), (1, 1), (2, 0), (2, 0), (2, 1), (2, 1), (7, 0), (7, 1), (8, 4), (9, 3)]
+        assert {r.verdict for r in rows} == {"verbatim"}
+        kept = decontaminate.without_leaks(docs, bench)
+        assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 3, 4, 5, 6, 10]
     assert decontaminate.find_leaks(empty(spark), bench).collect() == []
-    assert decontaminate.find_leaks(awkward(spark), bench.limit(0)).collect() == []
+    assert decontaminate.find_leaks(docs, bench.limit(0)).collect() == [] and decontaminate.without_leaks(docs, bench.limit(0)).count() == 13
 
 
 def test_leaks_in_later_batches(spark):
