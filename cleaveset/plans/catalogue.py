@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleaveset.functions import text as fn
+from cleaveset.functions.vectors import METRICS
 from cleaveset.operators import audio, cluster, embedding, graph, image, metrics, pairwise, splits, tabular, text
 from cleaveset.operators.ranking import cut_by_ratio, rank_by, train_size
 from cleaveset.sources import generators
+from cleaveset.store import Store
 from cleaveset.streaming import scorers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,10 +158,55 @@ g AS (SELECT v.id, least(v.id, coalesce(min(w.b), v.id)) AS component FROM v LEF
 z AS (SELECT id, component, count(*) OVER (PARTITION BY component) AS n, row_number() OVER (PARTITION BY component ORDER BY md5(id::VARCHAR || ':42'), id) AS r FROM g)
 SELECT id, component, CASE WHEN r <= CASE WHEN n = 1 THEN 1 ELSE least(greatest(floor(n * 0.7::DOUBLE), 1), n - 1) END THEN 'train' ELSE 'test' END AS split FROM z""")
 
+add("split_duplicate_spread_default", _on("embeddings", splits.duplicate_spread_split), f"""
+WITH RECURSIVE {V}, {PAIRS}, t AS (SELECT quantile_cont(d, 0.1) AS t FROM p), k AS (SELECT id AS a, other AS b FROM p, t WHERE d <= t),
+w(a, b) AS (SELECT a, b FROM k UNION SELECT w.a, k.b FROM w JOIN k ON k.a = w.b),
+g AS (SELECT v.id, least(v.id, coalesce(min(w.b), v.id)) AS component FROM v LEFT JOIN w ON w.a = v.id GROUP BY v.id),
+z AS (SELECT id, component, count(*) OVER (PARTITION BY component) AS n, row_number() OVER (PARTITION BY component ORDER BY md5(id::VARCHAR || ':42'), id) AS r FROM g)
+SELECT id, component, CASE WHEN r <= CASE WHEN n = 1 THEN 1 ELSE least(greatest(floor(n * 0.7::DOUBLE), 1), n - 1) END THEN 'train' ELSE 'test' END AS split FROM z""")
+DBSCAN = f"""WITH RECURSIVE {V}, {PAIRS}, nb AS (SELECT id AS a, other AS b FROM p WHERE d <= 1.15),
+core AS (SELECT v.id FROM v LEFT JOIN nb ON nb.a = v.id GROUP BY v.id HAVING count(nb.b) + 1 >= 4),
+li AS (SELECT a, b FROM nb JOIN core x ON x.id = a JOIN core y ON y.id = b),
+w(a, b) AS (SELECT a, b FROM li UNION SELECT w.a, li.b FROM w JOIN li ON li.a = w.b),
+co AS (SELECT core.id, least(core.id, coalesce(min(w.b), core.id)) AS root FROM core LEFT JOIN w ON w.a = core.id GROUP BY core.id),
+nu AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM co)),
+na AS (SELECT id, cluster FROM co JOIN nu ON nu.root = co.root),
+bo AS (SELECT nb.b AS id, min(cluster) AS border FROM nb JOIN na ON na.id = nb.a GROUP BY nb.b),
+c AS (SELECT v.id, coalesce(na.cluster, bo.border, -1)::INT AS cluster FROM v LEFT JOIN na ON na.id = v.id LEFT JOIN bo ON bo.id = v.id)"""
+add("emb_dbscan", _on("embeddings", lambda v: cluster.dbscan(v.select("id", "e"), 1.15, 4).select("id", "cluster")), f"{DBSCAN} SELECT id, cluster FROM c")
+add("split_dbscan", _on("embeddings", lambda v: splits.cluster_split(v.select("id", "e"), method="dbscan", eps=1.15, min_samples=4)), f"""{DBSCAN},
+o AS (SELECT cluster, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(id)) AS k, {TARGET} AS t FROM c WHERE cluster >= 0 GROUP BY cluster),
+f AS (
+  SELECT k, cluster, n, n <= t AS fits, CASE WHEN n <= t THEN n ELSE 0 END AS total, t FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.k, o.cluster, o.n, f.total + o.n <= o.t, f.total + CASE WHEN f.total + o.n <= o.t THEN o.n ELSE 0 END, o.t FROM f JOIN o ON o.k = f.k + 1)
+SELECT c.id, CASE WHEN fits THEN 'train' ELSE 'test' END AS split FROM c LEFT JOIN f ON f.cluster = c.cluster""")
+
+
+def _label_distances(v: DataFrame) -> DataFrame:
+    """Distances of all pairs of label centroids, by each metric."""
+    own = Store(v.sparkSession).keep(embedding.centroid(v, ("label",)).select(F.col("label").alias("id"), F.col("c").alias("e")), "centroids")
+    out = None
+    for metric in METRICS:
+        one = pairwise.pairwise_distances(own, metric).select(F.lit(metric).alias("metric"), "a", "b", F.round("d", 6).alias("distance"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+METRIC_SQL = {
+    "euclidean": "sqrt(list_sum(list_transform(g, lambda x: x * x)))",
+    "sqeuclidean": "list_sum(list_transform(g, lambda x: x * x))",
+    "cityblock": "list_sum(list_transform(g, lambda x: abs(x)))",
+    "chebyshev": "list_max(list_transform(g, lambda x: abs(x)))",
+    "cosine": "1 - list_cosine_similarity(x, y)",
+}
+add("emb_label_distances", _on("embeddings", _label_distances), f"""
+WITH {V}, {CL}, p AS (SELECT a.label AS a, b.label AS b, a.c AS x, b.c AS y, list_transform(range(1, len(a.c) + 1), lambda i: a.c[i] - b.c[i]) AS g FROM cl a, cl b)
+""" + " UNION ALL ".join(f"SELECT '{m}' AS metric, a, b, abs(round({f}, 6)) AS distance FROM p" for m, f in METRIC_SQL.items()))
+
 # Splits held by invariants in the tests ----------------------------------------------------------------------------
 for _name, _split in {
     "split_kmeans": splits.cluster_split,
-    "split_dbscan": lambda v: splits.cluster_split(v, method="dbscan", eps=1.15, min_samples=4),
     "split_centroid_kmeans": splits.centroid_adversarial_split,
     "split_kmeans_leak": splits.cluster_leak_split,
     "split_outlier_forest": splits.outlier_adversarial_split,
@@ -181,6 +228,8 @@ for _name, _split in {
 CUSTOMER = "SELECT c_custkey AS id, {} AS score FROM customer"
 add("tab_column_value", _on("customer", lambda t: tabular.column_value(t, "c_acctbal", "c_custkey", False)), with_scores(CUSTOMER.format("c_acctbal"), False))
 add("tab_column_value_text", _on("part", lambda t: tabular.column_value(t, "p_name", "p_partkey")), with_scores("SELECT p_partkey AS id, p_name AS score FROM part"))
+TEXT_RANK = "SELECT p_partkey AS id, round((rank() OVER (ORDER BY p_brand NULLS LAST) + (count(*) OVER (PARTITION BY p_brand) - 1) / 2) / count(*) OVER () * 100, 6) AS score FROM part"
+add("tab_column_rank_text", _on("part", lambda t: tabular.column_rank(t, "p_brand", "p_partkey")), with_scores(TEXT_RANK))
 RANK = "SELECT {id} AS id, round((rank() OVER (ORDER BY {v} NULLS LAST) + (count(*) OVER (PARTITION BY {v}) - 1) / 2) / count(*) OVER () * 100, 6) AS score FROM {t}"
 add("tab_column_rank", _on("part", lambda t: tabular.column_rank(t, "p_size", "p_partkey")), with_scores(RANK.format(id="p_partkey", v="p_size", t="part")))
 Z = "(c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER ()"
@@ -202,7 +251,9 @@ add("tab_distance_to_mean", _on("part", lambda t: tabular.row_distance_to_mean(t
 SCALED = "({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())"
 add("tab_multi_column", _on("part", lambda t: tabular.multi_column_sort(t, ["p_size", "p_retailprice"], [2.0, -1.0], "p_partkey")),
     with_scores(f"SELECT p_partkey AS id, round(2.0::DOUBLE * ({SCALED.format(c='p_size')}) - ({SCALED.format(c='p_retailprice')}), 6) AS score FROM part"))
-add("tab_isolation_forest", _on("part", lambda t: embedding.outlier_score(t.select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), "p_retailprice").alias("e")))))
+_PART = lambda t: t.select("p_partkey", "p_size", "p_retailprice")
+add("tab_isolation_forest", _on("part", lambda t: tabular.outlier_score(_PART(t), "isolation_forest", "p_partkey")))
+add("tab_outlier_lof", _on("part", lambda t: tabular.outlier_score(_PART(t), "lof", "p_partkey")), LOF.replace(V, "v AS (SELECT p_partkey AS id, [p_size::DOUBLE, p_retailprice::DOUBLE] AS e FROM part)"))
 
 
 def _cut_table(t: DataFrame) -> DataFrame:
@@ -221,10 +272,13 @@ add("txt_sentence_count", _on("documents", lambda t: text.sentence_count(t, id_c
 add("txt_vocabulary_rarity", _on("documents", lambda t: text.vocabulary_rarity(t, text.corpus_frequencies(t), id_col="doc_id")), rf"""
 WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[^\s]+')) AS w FROM documents), f AS (SELECT w, count(*) / sum(count(*)) OVER () AS f FROM t GROUP BY w),
 s AS (SELECT d.doc_id AS id, round(coalesce(m, 0.0), 6) AS score FROM documents d LEFT JOIN (SELECT id, sum(1 - f) / count(*) AS m FROM t JOIN f USING (w) GROUP BY id) x ON x.id = d.doc_id) {ranked('s')}""")
-COUNTS = r"""WITH a AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '[a-z]+') AS ws, greatest(1, len(regexp_extract_all(text, '[.!?]+')))::DOUBLE AS s, len(regexp_extract_all(lower(text), '[a-z]'))::DOUBLE AS l FROM conversations),
-b AS (SELECT id, s, l, len(ws)::DOUBLE AS w, list_transform(ws, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN regexp_matches(x, '[^l]e$') THEN 1 ELSE 0 END)) AS ys FROM a),
-c AS (SELECT id, s, l, w, coalesce(list_sum(ys), 0)::DOUBLE AS y, len(list_filter(ys, lambda x: x >= 3))::DOUBLE AS h FROM b),
-s AS (SELECT id, CASE WHEN w >= 20 THEN round({}, 6) ELSE 'inf'::DOUBLE END AS score FROM c) """
+#: Familiar words of the Dale-Chall grade: a short list, as the grade's own isn't at hand.
+EASY = "a about after all also an and any are as at be been before but by can could day did do down each even find first for from get give go good great had has have he her here him his how if in into is it its just know like little long look made make many may me more most much must my new no not now of off old on one only or other our out over own people said same see she should so some such take than that the their them then there these they thing this time to two under up us use very was water way we well went were what when where which who will with work would year you your".split()
+COUNTS = r"""WITH a AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z]+') AS ws, greatest(1, len(regexp_extract_all(text, '[.!?]+')))::DOUBLE AS s, len(regexp_extract_all(lower(text), '[a-z]'))::DOUBLE AS l FROM documents),
+b AS (SELECT id, s, l, len(ws)::DOUBLE AS w, ws, list_transform(ws, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN regexp_matches(x, '[^l]e$') THEN 1 ELSE 0 END)) AS ys FROM a),
+c AS (SELECT id, s, l, w, ws, coalesce(list_sum(ys), 0)::DOUBLE AS y, len(list_filter(ys, lambda x: x >= 3))::DOUBLE AS h FROM b),
+s AS (SELECT id, CASE WHEN w >= 100 THEN round({}, 6) ELSE 'inf'::DOUBLE END AS score FROM c) """
+DIFFICULT = f"len(list_filter(ws, lambda x: NOT list_contains([{', '.join(repr(x) for x in EASY)}], x))) / w * 100"
 for _name, _formula in {
     "flesch_kincaid": "0.39::DOUBLE * (w / s) + 11.8::DOUBLE * (y / w) - 15.59::DOUBLE",
     "flesch": "206.835::DOUBLE - 1.015::DOUBLE * (w / s) - 84.6::DOUBLE * (y / w)",
@@ -233,8 +287,9 @@ for _name, _formula in {
     "ari": "4.71::DOUBLE * (l / w) + 0.5::DOUBLE * (w / s) - 21.43::DOUBLE",
     "linsear_write": "CASE WHEN (w - h + 3 * h) / s > 20 THEN (w - h + 3 * h) / s / 2 ELSE ((w - h + 3 * h) / s - 2) / 2 END",
     "smog": "CASE WHEN s >= 30 THEN 1.043::DOUBLE * sqrt(30 * (h / s)) + 3.1291::DOUBLE ELSE 'inf'::DOUBLE END",
+    "dale_chall": f"0.1579::DOUBLE * ({DIFFICULT}) + 0.0496::DOUBLE * (w / s) + CASE WHEN {DIFFICULT} > 5 THEN 3.6365::DOUBLE ELSE 0 END",
 }.items():
-    add(f"txt_readability_{_name}", _on("conversations", lambda t, m=_name: text.readability_score(t.withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), m, min_words=20)), COUNTS.format(_formula) + ranked("s"))
+    add(f"txt_readability_{_name}", _on("documents", lambda t, m=_name: text.readability_score(t, m, id_col="doc_id", easy_words=EASY)), COUNTS.format(_formula) + ranked("s"))
 add("txt_bigram_perplexity", _on("conversations", lambda t: text.bigram_perplexity(t.withColumn("id", F.col("conv_id") * 1000 + F.col("turn")))), rf"""
 WITH t AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '[^\s]+') AS t FROM conversations), u AS (SELECT * FROM t WHERE len(t) >= 2),
 p AS (SELECT id, unnest(list_transform(range(1, len(t)), lambda i: {{'a': t[i], 'b': t[i + 1]}})) AS p FROM u), b AS (SELECT p.a AS a, p.b AS b, count(*) AS n FROM p GROUP BY ALL), o AS (SELECT a, sum(n) AS na FROM b GROUP BY a),
@@ -243,14 +298,16 @@ s AS (SELECT t.id, round(coalesce(exp(m), 'inf'::DOUBLE), 6) AS score FROM t LEF
 
 
 def _neighbours(t: DataFrame) -> DataFrame:
-    """Each benchmark item beside the next one."""
-    return t.alias("a").join(t.alias("b"), F.col("b.item_id") == F.col("a.item_id") + 1).select(F.col("a.item_id").alias("id"), F.col("a.text").alias("x"), F.col("b.text").alias("y"))
+    """Each benchmark item beside the next one in the order of ids; the last is beside none."""
+    order = rank_by(t.select("item_id", "text", F.col("item_id").alias("score")), "score", "item_id").select("item_id", "text", "pos")
+    after = order.select((F.col("pos") - 1).alias("pos"), F.col("text").alias("y"))
+    return order.join(after, "pos").select(F.col("item_id").alias("id"), F.col("text").alias("x"), "y")
 
 
 GRAMS = "list_transform(range(1, greatest(len({x}) - {k}, 0) + 1), lambda i: array_to_string({x}[i:i + {k}], chr(31)))"
 SIMILARITY = " + ".join(f"coalesce(len(list_intersect({GRAMS.format(x='x', k=k)}, {GRAMS.format(x='y', k=k)})) / nullif(len(list_distinct({GRAMS.format(x='x', k=k)} || {GRAMS.format(x='y', k=k)})), 0), 0)" for k in range(3))
 add("txt_ngram_jaccard", _on("benchmark", lambda t: _neighbours(t).select("id", F.round(fn.ngram_jaccard_similarity(F.col("x"), F.col("y")), 6).alias("similarity"), F.round(fn.ngram_jaccard_distance(F.col("x"), F.col("y")), 6).alias("distance"))), rf"""
-WITH t AS (SELECT item_id AS id, {TOKENS} AS t FROM benchmark), p AS (SELECT a.id, a.t AS x, b.t AS y FROM t a JOIN t b ON b.id = a.id + 1), s AS (SELECT id, ({SIMILARITY}) / 3 AS s FROM p)
+WITH t AS (SELECT item_id AS id, {TOKENS} AS t FROM benchmark), p AS (SELECT id, t AS x, lead(t) OVER (ORDER BY id) AS y FROM t QUALIFY y IS NOT NULL), s AS (SELECT id, ({SIMILARITY}) / 3 AS s FROM p)
 SELECT id, round(s, 6) AS similarity, round(1 - s, 6) AS distance FROM s""")
 add("txt_diversity", _on("benchmark", lambda t: text.diversity_text(t, id_col="item_id")), rf"""
 WITH t AS (SELECT {TOKENS} AS t FROM benchmark), p AS (SELECT a.t AS x, b.t AS y FROM t a, t b) SELECT round(avg(1 - ({SIMILARITY}) / 3), 6) AS diversity FROM p""")
@@ -268,8 +325,21 @@ for _name, _score, _sql in (
     add(f"sig_{_name}", _on("events", lambda t, f=_score: f(_samples(t))), "WITH " + SIGNAL.format(_sql) + ranked("s"))
 add("sig_zero_crossings", _on("events", lambda t: audio.zero_crossings(_samples(t))),
     f"WITH y AS (SELECT user_id AS id, CASE WHEN (value - 50 < 0) <> lag(value - 50 < 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS x FROM events), s AS (SELECT id, round(sum(x) / count(*), 6) AS score FROM y GROUP BY id) {ranked('s')}")
+SOUND = """i AS (SELECT i AS id, t.k AS k, 0.5::DOUBLE * sin(2 * pi() * 200 * (i + 1) * k / 22050) + 0.1::DOUBLE * i * (((k * k * 7919 + (i + 1) * k * 104729) % 1000) / 1000 - 0.5::DOUBLE) AS y FROM range(4) r(i), range(2048) t(k)),
+w AS (SELECT id, f.f AS f, k - (f.f * 512 - 1024) AS n, y * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (k - (f.f * 512 - 1024)) / 2048)) AS y FROM i, range(5) f(f) WHERE k - (f.f * 512 - 1024) BETWEEN 0 AND 2047),
+m AS (SELECT id, f, b.b AS b, sqrt(pow(sum(y * cos(2 * pi() * ((b.b * n) % 2048) / 2048)), 2) + pow(sum(y * sin(2 * pi() * ((b.b * n) % 2048) / 2048)), 2)) AS m, b.b * 22050::DOUBLE / 2048 AS h FROM w, range(1025) b(b) GROUP BY id, f, b.b),
+c AS (SELECT id, f, sum(h * m) / sum(m) AS c FROM m GROUP BY id, f)"""
+SPECTRA = {
+    "spectral_centroid": "s AS (SELECT id, round(avg(c), 6) AS score FROM c GROUP BY id)",
+    "spectral_bandwidth": "u AS (SELECT m.id, m.f, sqrt(sum(m * (h - c) * (h - c)) / sum(m)) AS v FROM m JOIN c ON c.id = m.id AND c.f = m.f GROUP BY m.id, m.f), s AS (SELECT id, round(avg(v), 6) AS score FROM u GROUP BY id)",
+    "spectral_rolloff": "q AS (SELECT id, f, h, sum(m) OVER (PARTITION BY id, f ORDER BY b) AS t, sum(m) OVER (PARTITION BY id, f) AS a FROM m), u AS (SELECT id, f, min(h) FILTER (t >= 0.85::DOUBLE * a) AS v FROM q GROUP BY id, f), s AS (SELECT id, round(avg(v), 6) AS score FROM u GROUP BY id)",
+    "spectral_flatness": "u AS (SELECT id, f, exp(avg(ln(greatest(m * m, 1e-10::DOUBLE)))) / avg(greatest(m * m, 1e-10::DOUBLE)) AS v FROM m GROUP BY id, f), s AS (SELECT id, round(avg(v), 6) AS score FROM u GROUP BY id)",
+    "zero_crossing_rate": "e AS (SELECT i.id, f.f AS f, n.n AS n, i.y < 0 AS z FROM range(5) f(f), range(2048) n(n) JOIN i ON i.k = least(greatest(f.f * 512 - 1024 + n.n, 0), 2047)), u AS (SELECT id, f, n, z <> lag(z) OVER (PARTITION BY id, f ORDER BY n) AS x FROM e), s AS (SELECT id, round(sum(x::INT) / (5.0::DOUBLE * 2047), 6) AS score FROM u GROUP BY id)",
+}
 for _name in audio.SPECTRAL:
     add(f"aud_{_name}", lambda spark, d, n=_name: audio.spectral(generators.sound_table(spark), n))
+for _name, _sql in SPECTRA.items():
+    add(f"aud_formula_{_name}", lambda spark, d, n=_name: audio.spectral(generators.formula_sounds(spark), n), f"WITH {SOUND}, {_sql} {ranked('s')}")
 
 # Images: pixels by formula, and the named fixtures ------------------------------------------------------------------
 PIXELS = "x AS (SELECT r.i // 2500 AS id, r.i % 50 AS x, r.i // 50 % 50 AS y FROM range(50000) r(i)), p AS (SELECT id, (x * 5 + id * 7) % 256 AS r, (y * 5 + id * id) % 256 AS g, (x * y + id) % 256 AS b FROM x)"
@@ -290,9 +360,40 @@ for _name, _score, _sql in (
 for _name, _score in (("frequency", image.frequency_content), ("dominant_color", image.dominant_color), ("zlib_ratio", image.zlib_ratio)):
     add(f"img_{_name}", lambda spark, d, f=_score: f(generators.image_table(spark)))
 
-# Generated points and splits -----------------------------------------------------------------------------------------
+FREQUENCY = f"""WITH {PIXELS}, g AS (SELECT p.id, p.px, p.py, {GRAY.format()} AS g FROM (SELECT id, x AS px, y AS py, (x * 5 + id * 7) % 256 AS r, (y * 5 + id * id) % 256 AS g, (x * y + id) % 256 AS b FROM x) p),
+a AS (SELECT id, py, u.u AS u, sum(g * cos(2 * pi() * ((u.u * px) % 50) / 50)) AS re, -sum(g * sin(2 * pi() * ((u.u * px) % 50) / 50)) AS im FROM g, range(50) u(u) GROUP BY id, py, u.u),
+f AS (SELECT id, u, v.v AS v, sum(re * cos(2 * pi() * ((v.v * py) % 50) / 50) + im * sin(2 * pi() * ((v.v * py) % 50) / 50)) AS re, sum(im * cos(2 * pi() * ((v.v * py) % 50) / 50) - re * sin(2 * pi() * ((v.v * py) % 50) / 50)) AS im FROM a, range(50) v(v) GROUP BY id, u, v.v),
+h AS (SELECT id, sqrt(re * re + im * im) AS m, sqrt(pow((u + 25) % 50 - 25, 2) + pow((v + 25) % 50 - 25, 2)) AS d FROM f),
+s AS (SELECT id, round(sum(m) FILTER (d > 6) / sum(m), 6) AS score FROM h GROUP BY id) {ranked('s')}"""
+add("img_formula_frequency", lambda spark, d: image.frequency_content(generators.formula_images(spark)), FREQUENCY)
+
+# Generated points ------------------------------------------------------------------------------------------------------
+def _uniform(name: str) -> str:
+    return f"((('0x' || substr(md5(id::VARCHAR || ':{name}:42'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+
+
+def _gauss(name: str) -> str:
+    return f"(sqrt(-2 * ln({_uniform(name + 'r')})) * cos(2 * pi() * {_uniform(name + 'a')}))"
+
+
+_RING, _TURN = f"(2.0::DOUBLE * (id % 3 + 1) + {_gauss('r')} * 0.15::DOUBLE)", "(2 * pi() * (id % 5) / 5)"
+_MOON, _SPIRAL = f"(pi() * {_uniform('t')})", f"(sqrt({_uniform('t')}) * 4 * pi())"
+POINTS = {
+    "unimodal": (500, _gauss("x"), _gauss("y")),
+    "bimodal": (500, f"CASE WHEN id < 250 THEN -3 ELSE 3 END + {_gauss('x')} * 0.8::DOUBLE", f"{_gauss('y')} * 0.8::DOUBLE"),
+    "multimodal": (500, f"5 * cos({_TURN}) + {_gauss('x')} * 0.5::DOUBLE", f"5 * sin({_TURN}) + {_gauss('y')} * 0.5::DOUBLE"),
+    "concentric_rings": (600, f"{_RING} * cos(2 * pi() * {_uniform('a')})", f"{_RING} * sin(2 * pi() * {_uniform('a')})"),
+    "moons": (500, f"CASE WHEN id % 2 = 0 THEN cos({_MOON}) ELSE 1 - cos({_MOON}) END + {_gauss('x')} * 0.1::DOUBLE", f"CASE WHEN id % 2 = 0 THEN sin({_MOON}) ELSE 0.5::DOUBLE - sin({_MOON}) END + {_gauss('y')} * 0.1::DOUBLE"),
+    "spiral": (500, f"CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END * {_SPIRAL} * cos({_SPIRAL}) / 3 + {_gauss('x')} * 0.1::DOUBLE", f"CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END * {_SPIRAL} * sin({_SPIRAL}) / 3 + {_gauss('y')} * 0.1::DOUBLE"),
+    "anisotropic": (500, f"2 * {_gauss('x')} + 1.5::DOUBLE * {_gauss('y')}", f"1.5::DOUBLE * {_gauss('x')} + 1.2::DOUBLE * {_gauss('y')}"),
+    "uniform_square": (500, f"4 * {_uniform('x')} - 2", f"4 * {_uniform('y')} - 2"),
+    "density_gradient": (500, f"-ln({_uniform('x')}) * 2", _gauss("y")),
+    "clustered_outliers": (500, f"CASE WHEN id >= 475 THEN 8 + {_gauss('x')} * 0.3::DOUBLE ELSE {_gauss('x')} END", f"CASE WHEN id >= 475 THEN 8 + {_gauss('y')} * 0.3::DOUBLE ELSE {_gauss('y')} END"),
+}
 for _name, _make in generators.DISTRIBUTIONS.items():
-    add(f"gen_{_name}", lambda spark, d, f=_make: f(spark))
+    _n, _x, _y = POINTS[_name]
+    add(f"gen_{_name}", lambda spark, d, f=_make: f(spark).select("id", F.round(F.col("e")[0], 6).alias("x"), F.round(F.col("e")[1], 6).alias("y")),
+        f"SELECT id, round({_x}, 6) AS x, round({_y}, 6) AS y FROM (SELECT i AS id FROM range({_n}) r(i))")
 
 
 # Streams --------------------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,9 @@ from cleaveset.operators.audio import SR
 
 
 def _u(name: str, seed: int) -> Column:
-    """Uniform in (0, 1) by id, name and seed."""
-    return (F.pmod(F.xxhash64(F.col("id"), F.lit(name), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    """Uniform in (0, 1) by id, name and seed: the first 52 bits of a digest that any SQL engine has."""
+    key = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{name}:{seed}")))
+    return (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def _normal(name: str, seed: int) -> Column:
@@ -152,3 +154,26 @@ def named_sounds(sr: int = SR, seed: int = 0) -> dict[str, np.ndarray]:
 
 def sound_table(spark: SparkSession, sr: int = SR, seed: int = 0) -> DataFrame:
     return spark.createDataFrame([(k, sr, [float(v) for v in y]) for k, y in named_sounds(sr, seed).items()], "id string, sr int, y array<double>")
+
+
+def formula_images(spark: SparkSession, n: int = 20) -> DataFrame:
+    """(id, height, width, data): n images of 50 x 50 pixels by a closed form that SQL can repeat."""
+
+    def run(found):
+        y, x = np.mgrid[0:50, 0:50]
+        for pdf in found:
+            data = [np.stack([(x * y + i) % 256, (y * 5 + i * i) % 256, (x * 5 + i * 7) % 256], 2).astype(np.uint8).tobytes() for i in pdf.id]
+            yield pd.DataFrame({"id": pdf.id, "height": 50, "width": 50, "data": data})
+
+    return spark.range(n).mapInPandas(run, "id long, height int, width int, data binary")
+
+
+def formula_sounds(spark: SparkSession, n: int = 4, length: int = 2048) -> DataFrame:
+    """(id, sr, y): n sounds by a closed form, each a tone with more noise than the one before."""
+    t = F.sequence(F.lit(0), F.lit(length - 1))
+
+    def sample(k: Column) -> Column:
+        noise = ((k * k * 7919 + (F.col("id") + 1) * k * 104729) % 1000) / 1000 - 0.5
+        return 0.5 * F.sin(2 * math.pi * 200 * (F.col("id") + 1) * k / SR) + 0.1 * F.col("id") * noise
+
+    return spark.range(n).select("id", F.lit(SR).alias("sr"), F.transform(t, lambda k: sample(k.cast("long"))).alias("y"))
