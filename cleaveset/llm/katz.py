@@ -405,7 +405,7 @@ def _ngrams(table: DataFrame, replies: DataFrame, model, order: int, narrow: boo
     return asked.repartition(min(ranges, PARTITIONS), "range").groupBy("range").applyInArrow(count, REPLY)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, order: int = ORDER, chunk_tokens: int = 1_000_000, range_entries: int = 1_500_000) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, order: int = ORDER, chunk_tokens: int = 1_250_000, range_entries: int = 600_000) -> DataFrame:
     """Base and Katz log10 probabilities of every whole text; rows with crc32(id as text) mod modulus = remainder are held out of training.
 
     The model backs off from ``order`` (at least 2) down to single words, recursively for each token: an n-gram that
