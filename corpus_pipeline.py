@@ -14,31 +14,54 @@ from cleaveset.session import prepare
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language; texts without letters and of no clear language go."""
+    """Documents in an identified language; texts without letters and of no clear language go.
+
+    Null, empty and letterless texts go. Very long texts are read whole. Repeated rows go or stay together; a null id or
+    label only isn't learnt from. An empty table gives an empty one. Further columns are kept, whatever their names.
+    """
     prepare(spark)
     return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by n-gram Jaccard similarity, the one of smallest id."""
+    """Of each group of texts linked by n-gram Jaccard similarity, the one of smallest id.
+
+    Null, empty and wordless texts are linked with nothing and stay. Very long texts are compared whole. Of repeated rows
+    one stays; rows of a null or repeated id are told apart by their texts. Pairs at the threshold link. An empty table
+    gives an empty one. Further columns are kept, whatever their names.
+    """
     prepare(spark)
     return ngram_join.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, verbatim or paraphrased.
+
+    Null and empty texts hold none and stay. Very long texts are searched whole. Repeated rows go or stay together. Null
+    items hold nothing, repeated ones count once, items with a null id count. An empty table gives an empty one, an empty
+    benchmark takes nothing. Further columns are kept, whatever their names.
+    """
     prepare(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document appears as often as the mix takes it."""
+    """Sources at their target weights: a document appears as often as the mix takes it.
+
+    Null, empty and wordless texts have no size and go. A null source is a source of its own; a null id has the key of an
+    empty one. Repeated rows at a source's cut stay or go together. Very long texts are counted whole. An empty table
+    gives an empty one. Further columns are kept, whatever their names.
+    """
     prepare(spark)
     return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document of the mix."""
+    """Shard and slot of every document of the mix, as the last result: doc_id, size, checksum, law, shard, slot.
+
+    A null text has 16 bytes and checksum 0; a null id has the key of an empty string. Rows of one id, repeats of the mix
+    among them, share a shard and take slots of their own. An empty table gives an empty one; further columns are ignored.
+    """
     prepare(spark)
     return sharding.shard_documents(docs)
 
