@@ -227,7 +227,11 @@ class Index:
         if not len(near):
             return out
         latent = np.zeros((first[-1] + 1, self.project.shape[1]), np.float32)  # by block; windows are sums of blocks
-        known, place = term[have], block[have]
+        need = np.zeros(first[-1] + 1, bool)  # blocks of the windows that are compared
+        for j in range(SPAN):
+            need[np.minimum(near + j, end[near] - 1)] = True
+        known = have & need[block]
+        known, place = term[known], block[known]
         for a in range(0, len(known), 32768):
             t, at = known[a : a + 32768], place[a : a + 32768]
             heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
