@@ -31,8 +31,10 @@ WORDS = 5
 NUM, DEN = 80, 100
 #: Bytes of shingles that one range of the count exchange should hold.
 RANGE_BYTES = 10_000_000
-#: Shingles that a map task gathers before it sends them on.
-HELD = 3_000_000
+#: Shingles that a map task gathers before it sends them on: some 60 bytes each while they are merged.
+HELD = 1_500_000
+#: Bytes of an Arrow batch that a map task returns, about; the JVM holds a batch beside its heap.
+SENT_BYTES = 2_000_000
 #: Bytes of keys that are broadcast at most.
 BROADCAST_BYTES = 64_000_000
 
@@ -147,13 +149,25 @@ def _sent(merged: tuple, edges: np.ndarray, first: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(o, pa.binary()) for o in out[1:])], ["range", "tokens", "classes", "counts", "shared"])
 
 
+def _emptied(parts: list[np.ndarray]) -> np.ndarray:
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
+def _pieces(batch: pa.RecordBatch):
+    step = max(1, batch.num_rows * SENT_BYTES // max(1, batch.nbytes))
+    for a in range(0, batch.num_rows, step):
+        yield batch.slice(a, step)
+
+
 def _pack(texts: DataFrame, ranges: Ranges, n: int, names: Names, most: int) -> DataFrame:
     """A map task's shingles by range, each class once."""
 
     def run(found):
         own, parts, size = {}, [], 0
         edges = ranges.top_edges()
-        flush = lambda: _sent(merge(np.concatenate(parts), np.repeat(np.array(list(own), np.int64), list(own.values())), np.zeros(0, np.uint64)), edges, 0)
+        flush = lambda: _pieces(_sent(merge(_emptied(parts), np.repeat(np.array(list(own), np.int64), list(own.values())), np.zeros(0, np.uint64)), edges, 0))
         for b in found:
             for _, s in sets(b.column(0), n):
                 if len(s) and (name := names(s)) not in own:
@@ -161,10 +175,10 @@ def _pack(texts: DataFrame, ranges: Ranges, n: int, names: Names, most: int) ->
                     parts.append(s)
                     size += len(s)
                 if size > most:
-                    yield flush()
+                    yield from flush()
                     own, parts, size = {}, [], 0
         if parts:
-            yield flush()
+            yield from flush()
 
     return texts.mapInArrow(run, "range int, tokens binary, classes binary, counts binary, shared binary")
 

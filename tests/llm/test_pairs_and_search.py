@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -265,3 +267,27 @@ def test_leaks_in_later_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted(r.doc_id for r in found) == [5, 6, 7]
+
+
+def test_a_map_task_of_the_join_holds_little():
+    """Peak of a task that hashes and packs 3 million different shingles, and the largest batch that it returns."""
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            return run
+
+    def column(k):
+        numbers = np.random.RandomState(k).randint(0, 1 << 40, (300, 1000))
+        return pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, x)) for x in numbers])], ["text"])
+
+    columns = [column(k) for k in range(10)]
+    run = ngram_join._pack(Texts(), ngram_join.Ranges(100), ngram_join.WORDS, ngram_join.Names(), ngram_join.HELD)
+    tracemalloc.start()
+    try:
+        sent = [(b.num_rows, b.nbytes, sum(len(x.as_py()) for x in b.column(1))) for b in run(iter(columns))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    print("peak MB", peak / 1e6, "largest batch MB", max(n for _, n, _ in sent) / 1e6)
+    assert sum(n for *_, n in sent) == 8 * 10 * 300 * 996
+    assert peak < 120e6 and max(n for _, n, _ in sent) < 3e6
