@@ -7,6 +7,8 @@ into the latent space, takes cosine neighbours and verifies them word by word.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,8 @@ from cleaveset.llm._words import batches, runs
 
 BLOCK = 16  # words
 SPAN = 4  # blocks of a window; passages of the SVD are half as long
-FREQUENT = 256  # terms that are held dense
+FREQUENT = 64  # terms that are held dense
+GROUP = 64  # passages, or twice as many blocks, whose terms are one dense product
 #: Items and words of one round, and bytes of its table of words by item parts. More items take further rounds, of which
 #: PASS are searched for in one pass over the documents, so what is held and broadcast at once stays bounded.
 ITEMS, ITEM_WORDS, TABLE = 2000, 400_000, 64_000_000
@@ -37,14 +40,28 @@ class Terms:
     def __init__(self, items: list[np.ndarray]):
         self.hashes = np.unique(np.concatenate(items)) if items else np.zeros(0, np.uint64)
 
+    @cached_property
+    def slots(self) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+        """Slots by leading bits, some 16 a term: their shift, the first term from each on, and whether it has several."""
+        bits = min(20, len(self.hashes).bit_length() + 4)
+        shift = np.uint64(64 - bits)
+        start = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << shift)
+        return shift, np.minimum(start, len(self.hashes) - 1).astype(np.int32), np.diff(start, append=len(self.hashes)) > 1
+
     def __len__(self) -> int:
         return len(self.hashes)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Number of each word's term, -1 if it has none."""
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == h, at, -1)
+        shift, first, crowded = self.slots
+        slot = (h >> shift).astype(np.int64)
+        at = first[slot]
+        out = np.where(self.hashes[at] == h, at, -1).astype(np.int64)
+        more = np.flatnonzero(crowded[slot])
+        if len(more):
+            at = np.minimum(np.searchsorted(self.hashes, h[more]), len(self.hashes) - 1)
+            out[more] = np.where(self.hashes[at] == h[more], at, -1)
+        return out
 
 
 def blocks_of(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,21 +109,28 @@ def _frequencies(texts: DataFrame, vocabulary) -> tuple[np.ndarray, int]:
     return out, total
 
 
+def groups(place: np.ndarray, term: np.ndarray, weight: np.ndarray | None, n: int, size: int):
+    """(first place, terms, places x terms) of each ``size`` places that have a term; ``place`` is sorted."""
+    cut = np.searchsorted(place, np.arange(0, n + size, size))
+    for k in np.flatnonzero(cut[1:] > cut[:-1]):
+        own = slice(cut[k], cut[k + 1])
+        local, at = np.unique(term[own], return_inverse=True)
+        rows = min(size, n - k * size)
+        key = (place[own] - k * size) * len(local) + at
+        yield k * size, local, np.bincount(key, None if weight is None else weight[own], rows * len(local)).astype(np.float32).reshape(rows, -1)
+
+
 def multiply(passage: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, dense: np.ndarray, rank: np.ndarray, omega: np.ndarray, y: np.ndarray) -> None:
-    """y += A' A omega for the passages' sparse rows; frequent terms by dense products, the others by gathers."""
+    """y += A' A omega for the passages' sparse rows: products of frequent terms, and of the others of neighbouring passages."""
     often = rank[term] >= 0
-    a = np.bincount(passage[often] * len(dense) + rank[term[often]], weight[often], n * len(dense)).reshape(n, len(dense)).astype(np.float32)
+    a = np.zeros((n, len(dense)), np.float32)
+    a[passage[often], rank[term[often]]] = weight[often]  # a passage has a term once
     z = a @ omega[dense]
-    p, t, w = passage[~often], term[~often], weight[~often].astype(np.float32)
-    if len(p):
-        start = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        z[p[start]] += np.add.reduceat(omega[t] * w[:, None], start, axis=0)
+    others = passage[~often], term[~often], weight[~often]
+    for k, local, part in groups(*others, n, GROUP):  # a passage is in one group
+        z[k : k + GROUP] += part @ omega[local]
+        y[local] += part.T @ z[k : k + GROUP]
     y[dense] += a.T @ z
-    if len(p):
-        by = np.argsort(t, kind="stable")
-        t = t[by]
-        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        y[t[start]] += np.add.reduceat(z[p[by]] * w[by, None], start, axis=0)
 
 
 def _sketch(texts: DataFrame, vocabulary, idf: np.ndarray, dense: np.ndarray, omega: np.ndarray) -> np.ndarray:
@@ -123,7 +147,7 @@ def _sketch(texts: DataFrame, vocabulary, idf: np.ndarray, dense: np.ndarray, om
         rank[dense] = np.arange(len(dense))
         y = np.zeros((d, width))
         for b in found:
-            for _, _, h, bounds in batches(b.column(0), 1_000_000):
+            for _, _, h, bounds in batches(b.column(0)):
                 p, t, c, n = entries(terms.ids(h), bounds, d)
                 w = c * idf[t]
                 norm = np.sqrt(np.bincount(p, w * w, n))
@@ -169,11 +193,12 @@ class Index:
 
     def __init__(self, ids: list, words: list[np.ndarray], terms: Terms, idf: np.ndarray, basis: np.ndarray, cosine: float, energy: float, alike: float, verbatim: float, paraphrase: float, answer: float, answer_words: int):
         self.ids, self.hashes = ids, terms.hashes
-        self.short = None
+        self.short = self.terms = None
         self.weight = idf
         self.project = (basis * idf[:, None]).astype(np.float32)
         self.cosine, self.alike, self.verbatim, self.paraphrase, self.answer, self.answer_words = cosine, alike, verbatim, paraphrase, answer, answer_words
         self.items = [terms.ids(w).tolist() for w in words]
+        self.counts = [np.unique(w, return_counts=True) for w in self.items]
         self.whole = [self.bits(w) for w in self.items]
         self.tails = [self.bits(w[-answer_words:]) for w in self.items]
         self.owner, rows, mass, enough = [], [], [], []
@@ -202,6 +227,12 @@ class Index:
             out[t] = out.get(t, 0) | 1 << i
         return out, (1 << len(words)) - 1
 
+    def bound(self, k: int, span: np.ndarray) -> float:
+        """Share of the item's words that the span has in any order, which is at least the share in order."""
+        own, times = self.counts[k]
+        at = np.minimum(np.searchsorted(own, span), len(own) - 1)
+        return np.minimum(np.bincount(at[own[at] == span], minlength=len(own)), times).sum() / len(self.items[k])
+
     def verify(self, k: int, span: list[int], cosine: float) -> tuple[float, float] | None:
         """(share of the item in order within the span, same of its answer part) of a leak, else None."""
         share = common(*self.whole[k], span) / len(self.items[k])
@@ -212,9 +243,10 @@ class Index:
 
     def search(self, h: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(row, item) -> (cosine, share, answer share) of the leaks in the rows of a slice; of equal shares the largest cosine."""
-        terms = Terms.__new__(Terms)
-        terms.hashes = self.hashes
-        term = terms.ids(h)
+        if self.terms is None:
+            self.terms = Terms.__new__(Terms)
+            self.terms.hashes = self.hashes
+        term = self.terms.ids(h)
         if not len(term):
             return {}
         block, first = blocks_of(bounds)
@@ -231,11 +263,8 @@ class Index:
         for j in range(SPAN):
             need[np.minimum(near + j, end[near] - 1)] = True
         known = have & need[block]
-        known, place = term[known], block[known]
-        for a in range(0, len(known), 32768):
-            t, at = known[a : a + 32768], place[a : a + 32768]
-            heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            latent[at[heads]] += np.add.reduceat(self.project[t], heads, axis=0)
+        for a, local, counts in groups(block[known], term[known], None, int(first[-1]), 2 * GROUP):
+            latent[a : a + len(counts)] = counts @ self.project[local]
         for a in range(0, len(near), 1024):
             window = near[a : a + 1024]
             r = row[window]
@@ -254,7 +283,7 @@ class Index:
             key, times = np.unique(who * len(self.hashes) + t, return_counts=True)
             which = key % len(self.hashes)
             who_at = np.searchsorted(key // len(self.hashes), np.arange(len(window) + 1))
-            pair_w, pair_q = np.nonzero(score >= self.cosine)
+            pair_w, pair_q = np.divmod(np.flatnonzero(score >= self.cosine), score.shape[1])
             count = who_at[pair_w + 1] - who_at[pair_w]
             pair_w, pair_q, count = pair_w[count > 0], pair_q[count > 0], count[count > 0]
             begin = np.cumsum(count) - count
@@ -267,7 +296,10 @@ class Index:
                 if key in out and out[key][1] >= 1.0 and out[key][0] >= score[w, q]:
                     continue
                 margin = len(self.items[k])
-                found = self.verify(k, term[max(bounds[r[w]], start[w] - margin) : min(bounds[r[w] + 1], stop[w] + margin)].tolist(), float(score[w, q]))
+                span = term[max(bounds[r[w]], start[w] - margin) : min(bounds[r[w] + 1], stop[w] + margin)]
+                if self.bound(k, span) < self.paraphrase:
+                    continue
+                found = self.verify(k, span.tolist(), float(score[w, q]))
                 if found and (key not in out or (*found, float(score[w, q])) > (*out[key][1:], out[key][0])):
                     out[key] = (float(score[w, q]), *found)
         return out

@@ -291,3 +291,26 @@ def test_a_map_task_of_the_join_holds_little():
     print("peak MB", peak / 1e6, "largest batch MB", max(n for _, n, _ in sent) / 1e6)
     assert sum(n for *_, n in sent) == 8 * 10 * 300 * 996
     assert peak < 120e6 and max(n for _, n, _ in sent) < 3e6
+
+
+def test_terms_and_bounds_of_leaks(monkeypatch):
+    """Terms by slots, several in one among them; a search verifies no window whose words can't hold enough of an item."""
+    hashes = np.unique(np.concatenate([np.arange(9, dtype=np.uint64), np.random.RandomState(1).randint(0, 1 << 62, 500).astype(np.uint64) * np.uint64(4), np.array([(1 << 64) - 1], np.uint64)]))
+    terms = decontaminate.Terms([hashes])
+    asked = np.concatenate([hashes, hashes + np.uint64(1), np.arange(2000, dtype=np.uint64) << np.uint64(53)])
+    where = {int(h): k for k, h in enumerate(hashes)}
+    assert terms.ids(asked).tolist() == [where.get(int(h), -1) for h in asked]
+    shift, _, crowded = terms.slots
+    assert crowded[0] and crowded.sum() < 60
+
+    words = [f"w{k}" for k in range(40)]
+    item = next(decontaminate.batches(pa.array([" ".join(words)])))[2]
+    terms = decontaminate.Terms([item])
+    d = len(terms)
+    index = decontaminate.Index([7], [item], terms, np.ones(d), np.eye(d), 0.25, 0.2, 0.4, 0.75, 0.6, 0.6, 8)
+    calls = []
+    verify = decontaminate.Index.verify
+    monkeypatch.setattr(decontaminate.Index, "verify", lambda self, *x: calls.append(x) or verify(self, *x))
+    search = lambda text: index.search(*next(decontaminate.batches(pa.array([text])))[2:])
+    assert search(" ".join([*words[:20], *["other"] * 300])) == {} and not calls  # half of the item, 0.6 are needed
+    assert search(" ".join(words[:30]))[0, 0][1] == 0.75 and calls
