@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleaveset.llm._exchange import PARTITIONS
+from cleaveset.llm._memory import keeping
 from cleaveset.llm._store import Store
 from cleaveset.llm._words import batches, mix
 
@@ -121,25 +122,25 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, held, tokens: int) -> Da
     """Rows of kind 0, the documents of a chunk as positions among its words, and of kind 1, those words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def flush(ids: list, held: list, seq: list, sizes: list):
-        size = np.concatenate(sizes)
-        hold = np.concatenate(held)
-        words, _, at = grouped(np.concatenate(seq))
-        rank = np.empty(len(words), np.int64)  # the sequence names frequent words by small numbers, which compress well
-        by = np.argsort(-np.bincount(at), kind="stable")
-        rank[by] = np.arange(len(words))
-        counts, spare = (np.bincount(at[np.repeat(m, size)], minlength=len(words)) for m in (~hold, hold))
-        whole = pa.concat_arrays(ids)
-        lists = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
-        blob = lambda x: pa.array([x], pa.binary())
-        name = uuid.uuid4().int >> 66  # a table is written from these rows before anything reads them, so the name is fixed
-        none = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), whole.slice(0, 0))
-        number = lambda x: pa.array([x], pa.int64())
-        names = ["kind", "chunk", "ids", "held", "sizes", "seq", "by", "words", "counts", "spare", "n_words", "n_tokens"]
-        text = [lists, blob(np.packbits(hold).tobytes()), blob(pack(size)), blob(pack(rank[at])), blob(pack(by)), blob(b""), blob(b""), blob(b"")]
-        voc = [none, blob(b""), blob(b""), blob(b""), blob(b""), blob(pack_sorted(words)), blob(pack(counts)), blob(pack(spare))]
-        for k, columns in enumerate((text, voc)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), number(name), *columns, number(len(words) * (1 - k)), number(len(at) * (1 - k))], names)
+    def flush(ids: list, held: list, seq: list, sizes: list) -> list[pa.RecordBatch]:
+        with keeping():
+            size = np.concatenate(sizes)
+            hold = np.concatenate(held)
+            words, _, at = grouped(np.concatenate(seq))
+            rank = np.empty(len(words), np.int64)  # the sequence names frequent words by small numbers, which compress well
+            by = np.argsort(-np.bincount(at), kind="stable")
+            rank[by] = np.arange(len(words))
+            counts, spare = (np.bincount(at[np.repeat(m, size)], minlength=len(words)) for m in (~hold, hold))
+            whole = pa.concat_arrays(ids)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
+            blob = lambda x: pa.array([x], pa.binary())
+            name = uuid.uuid4().int >> 66  # a table is written from these rows before anything reads them, so the name is fixed
+            none = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), whole.slice(0, 0))
+            number = lambda x: pa.array([x], pa.int64())
+            names = ["kind", "chunk", "ids", "held", "sizes", "seq", "by", "words", "counts", "spare", "n_words", "n_tokens"]
+            text = [lists, blob(np.packbits(hold).tobytes()), blob(pack(size)), blob(pack(rank[at])), blob(pack(by)), blob(b""), blob(b""), blob(b"")]
+            voc = [none, blob(b""), blob(b""), blob(b""), blob(b""), blob(pack_sorted(words)), blob(pack(counts)), blob(pack(spare))]
+            return [pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), number(name), *columns, number(len(words) * (1 - k)), number(len(at) * (1 - k))], names) for k, columns in enumerate((text, voc))]
 
     def run(found):
         ids, hold, seq, sizes, n = [], [], [], [], 0
@@ -187,16 +188,17 @@ def _word_counts(table: DataFrame, ranges: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([b.column(0)[k].as_py()] * len(some), pa.int64()), pa.array([pack_sorted(words[cut[r] : cut[r + 1]]) for r in some], pa.binary()), *(pa.array([pack(x[cut[r] : cut[r + 1]]) for r in some], pa.binary()) for x in counts)], ["range", "chunk", "words", "counts", "spare"])
 
     def count(t: pa.Table) -> pa.Table:
-        r = t["range"][0].as_py()
-        words = [unpack_sorted(x.as_py()) for x in t["words"]]
-        u, _, at = grouped(np.concatenate(words))
-        total, spare = (np.bincount(at, np.concatenate([unpack(x.as_py()) for x in t[c]]).astype(float), len(u)).astype(np.int64) for c in ("counts", "spare"))
-        cut = np.cumsum([0, *map(len, words)])
-        rank = np.empty(len(u), np.uint64)  # frequent words have small ids, which compress well
-        rank[np.argsort(-total, kind="stable")] = np.arange(len(u), dtype=np.uint64)
-        out = [(0, c.as_py(), r, pack(total[at[cut[k] : cut[k + 1]]]), pack(rank[at[cut[k] : cut[k + 1]]] * np.uint64(ranges) + np.uint64(r)), pack(spare[at[cut[k] : cut[k + 1]]])) for k, c in enumerate(t["chunk"])]
-        stats = np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3), [len(u)]])
-        return _reply([*out, (9, -1, r, stats.astype(np.int64).tobytes())])
+        with keeping():
+            r = t["range"][0].as_py()
+            words = [unpack_sorted(x.as_py()) for x in t["words"]]
+            u, _, at = grouped(np.concatenate(words))
+            total, spare = (np.bincount(at, np.concatenate([unpack(x.as_py()) for x in t[c]]).astype(float), len(u)).astype(np.int64) for c in ("counts", "spare"))
+            cut = np.cumsum([0, *map(len, words)])
+            rank = np.empty(len(u), np.uint64)  # frequent words have small ids, which compress well
+            rank[np.argsort(-total, kind="stable")] = np.arange(len(u), dtype=np.uint64)
+            out = [(0, c.as_py(), r, pack(total[at[cut[k] : cut[k + 1]]]), pack(rank[at[cut[k] : cut[k + 1]]] * np.uint64(ranges) + np.uint64(r)), pack(spare[at[cut[k] : cut[k + 1]]])) for k, c in enumerate(t["chunk"])]
+            stats = np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3), [len(u)]])
+            return _reply([*out, (9, -1, r, stats.astype(np.int64).tobytes())])
 
     asked = table.select("chunk", "words", "counts", "spare").mapInArrow(split, "range int, chunk long, words binary, counts binary, spare binary")
     return asked.repartition(min(ranges, PARTITIONS), "range").groupBy("range").applyInArrow(count, REPLY)
@@ -369,36 +371,38 @@ def _ngrams(table: DataFrame, replies: DataFrame, model, order: int, narrow: boo
     """Replies of kind ``order`` to the chunks, and counts of counts by range (kind 100 + order)."""
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = [x.split()[0] for x in ASK.split(", ")]
-        rows = []
-        if left.num_rows:
-            rows = Chunk(left.to_pylist()[0], right.to_pylist(), model.value, narrow, order).level.asks(left["chunk"][0].as_py())
-        columns = list(zip(*rows)) if rows else [()] * len(names)
-        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 8))], names)
+        with keeping():
+            names = [x.split()[0] for x in ASK.split(", ")]
+            rows = []
+            if left.num_rows:
+                rows = Chunk(left.to_pylist()[0], right.to_pylist(), model.value, narrow, order).level.asks(left["chunk"][0].as_py())
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 8))], names)
 
     def count(t: pa.Table) -> pa.Table:
-        r = t["range"][0].as_py()
-        if r < 0:
-            seen = sum(np.frombuffer(x, np.int64) for x in t["hist"].to_pylist())
-            return _reply([(100 + order, -1, r, seen.tobytes())])
-        part = {k: [unpack(x) for x in t[k].to_pylist()] for k in ("hist", "hot", "den", "size", "w", "n", "o", "m")}
-        flat = {k: np.concatenate(v) for k, v in part.items()}
-        histories, _, hi = grouped(flat["hist"])
-        entry = np.repeat(np.arange(len(hi)), flat["size"].astype(np.int64))
-        followers, _, wi = grouped(flat["w"])
-        _, first, at = grouped(hi[entry] * max(1, len(followers)) + wi)
-        n, spare = (np.bincount(at, flat[x].astype(float), len(first)).astype(np.int64) for x in ("n", "o"))
-        lower = model.value.lower(order, flat["m"][first].astype(np.int64), flat["den"][entry[first]].astype(float))
-        sums, seen = sums_of(hi[entry[first]], n, lower, len(histories))
-        out, e, g = [], 0, 0
-        for k, c in enumerate(t["chunk"].to_pylist()):
-            f, i = e + len(part["hist"][k]), g + len(part["w"][k])
-            mine, h = n[at[g:i]], hi[e:f]
-            need = needed(part["hot"][k] > 0, part["size"][k].astype(np.int64), mine)
-            out.append((order, c, r, pack(mine), pack(sums[h, :CUT].sum(1) > 0), pack(sums[h[need]].astype(np.uint64).ravel()), squeeze(seen[h[need]].tobytes()), pack(spare[at[g:i]])))
-            e, g = f, i
-        stats = np.bincount(np.minimum(n[n > 0], CUT + 2), minlength=CUT + 3).astype(np.int64)
-        return _reply([*out, (100 + order, -1, r, stats.tobytes())])
+        with keeping():
+            r = t["range"][0].as_py()
+            if r < 0:
+                seen = sum(np.frombuffer(x, np.int64) for x in t["hist"].to_pylist())
+                return _reply([(100 + order, -1, r, seen.tobytes())])
+            part = {k: [unpack(x) for x in t[k].to_pylist()] for k in ("hist", "hot", "den", "size", "w", "n", "o", "m")}
+            flat = {k: np.concatenate(v) for k, v in part.items()}
+            histories, _, hi = grouped(flat["hist"])
+            entry = np.repeat(np.arange(len(hi)), flat["size"].astype(np.int64))
+            followers, _, wi = grouped(flat["w"])
+            _, first, at = grouped(hi[entry] * max(1, len(followers)) + wi)
+            n, spare = (np.bincount(at, flat[x].astype(float), len(first)).astype(np.int64) for x in ("n", "o"))
+            lower = model.value.lower(order, flat["m"][first].astype(np.int64), flat["den"][entry[first]].astype(float))
+            sums, seen = sums_of(hi[entry[first]], n, lower, len(histories))
+            out, e, g = [], 0, 0
+            for k, c in enumerate(t["chunk"].to_pylist()):
+                f, i = e + len(part["hist"][k]), g + len(part["w"][k])
+                mine, h = n[at[g:i]], hi[e:f]
+                need = needed(part["hot"][k] > 0, part["size"][k].astype(np.int64), mine)
+                out.append((order, c, r, pack(mine), pack(sums[h, :CUT].sum(1) > 0), pack(sums[h[need]].astype(np.uint64).ravel()), squeeze(seen[h[need]].tobytes()), pack(spare[at[g:i]])))
+                e, g = f, i
+            stats = np.bincount(np.minimum(n[n > 0], CUT + 2), minlength=CUT + 3).astype(np.int64)
+            return _reply([*out, (100 + order, -1, r, stats.tobytes())])
 
     both = (x.repartition(chunks, "chunk").groupBy("chunk") for x in (table, replies))
     asked = next(both).cogroup(next(both)).applyInArrow(ask, ASK)
@@ -452,17 +456,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     final = sc.broadcast(model)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        if not left.num_rows:
-            return pa.table([pa.array([], t) for t in (left.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
-        c = Chunk(left.to_pylist()[0], right.to_pylist(), final.value, narrow, order)
-        known = c.c[c.seq]
-        base = np.log10((known + np.uint64(1)).astype(float) / (total + distinct + 1.0))
-        rows = len(c.sizes)
-        ids = left["ids"].combine_chunks()
-        ids = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).flatten()
-        add = lambda x: np.bincount(c.row, x, rows)
-        return pa.table([ids, pa.array(c.held), pa.array(c.sizes), pa.array(add(known > 0).astype(np.int64)), pa.array(np.full(rows, total)), pa.array(add(base)), pa.array(add(c.value))], names)
+        with keeping():
+            names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+            if not left.num_rows:
+                return pa.table([pa.array([], t) for t in (left.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
+            c = Chunk(left.to_pylist()[0], right.to_pylist(), final.value, narrow, order)
+            known = c.c[c.seq]
+            base = np.log10((known + np.uint64(1)).astype(float) / (total + distinct + 1.0))
+            rows = len(c.sizes)
+            ids = left["ids"].combine_chunks()
+            ids = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).flatten()
+            add = lambda x: np.bincount(c.row, x, rows)
+            return pa.table([ids, pa.array(c.held), pa.array(c.sizes), pa.array(add(known > 0).astype(np.int64)), pa.array(np.full(rows, total)), pa.array(add(base)), pa.array(add(c.value))], names)
 
     with_ids = both.where("kind = 0").select("chunk", "ids", "held", "sizes", "seq", "by")
     sides = (x.repartition(parts, "chunk").groupBy("chunk") for x in (with_ids, had))

@@ -106,3 +106,27 @@ def test_katz_awkward(spark):
     assert katz.score_texts(empty(spark)).collect() == []
     with pytest.raises(ValueError):
         katz.score_texts(docs, order=1)
+
+
+def test_tasks_use_freed_memory_again():
+    """Page faults of arrays of 10 MB that come and go: a few thousand for all of them, where each array has some."""
+    import resource
+
+    import numpy as np
+
+    from cleaveset.llm._memory import keeping
+
+    def faults():
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        for _ in range(100):
+            np.ones(1_000_000, np.int8).repeat(10)
+        return resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before
+
+    with keeping():
+        pass  # the session's thresholds
+    plain = faults()
+    with keeping():
+        kept = faults()
+    again = faults()
+    print("page faults", plain, kept, again)
+    assert kept < plain / 3 and again > plain / 2
