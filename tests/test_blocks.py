@@ -43,3 +43,25 @@ def test_rows_are_written_once_whatever_the_number_of_blocks(spark):
     assert own.k == 20 and sum(own.table(j).num_rows for j in np.flatnonzero(own.rows)) == 600
     meetings = [{i, j} for i in range(own.k) for j in own.partners(i)]
     assert len(meetings) == own.k * (own.k + 1) // 2 and len({frozenset(m) for m in meetings}) == len(meetings)
+
+
+def components_by_all(near):
+    label = np.arange(len(near))
+    while True:
+        low = np.minimum(label, np.where(near, label[None], len(near)).min(1))
+        if (low == label).all():
+            return label
+        label = low
+
+
+@pytest.mark.parametrize("d,radius", [(2, 0.12), (2, 1.5), (12, 2.2), (12, 4.0)])
+def test_links_join_what_all_near_pairs_join_and_stay_few(spark, d, radius):
+    from cleaveset.operators import graph
+
+    x = np.random.RandomState(d).randn(400, d)
+    near = all_distances(x) <= radius
+    np.fill_diagonal(near, False)
+    found = pairwise.links(table(spark, x), radius, block_rows=80).cache()
+    assert found.count() <= 400 * 25 and (near.sum() < 10_000 or found.count() < near.sum() / 4)
+    got = {r.id: r.component for r in graph.components(table(spark, x), found).collect()}
+    assert [got[i] for i in range(400)] == components_by_all(near).tolist()
