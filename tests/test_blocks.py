@@ -65,3 +65,18 @@ def test_links_join_what_all_near_pairs_join_and_stay_few(spark, d, radius):
     assert found.count() <= 400 * 25 and (near.sum() < 10_000 or found.count() < near.sum() / 4)
     got = {r.id: r.component for r in graph.components(table(spark, x), found).collect()}
     assert [got[i] for i in range(400)] == components_by_all(near).tolist()
+
+
+def test_dbscan_by_its_definition_without_a_row_a_pair(spark, monkeypatch):
+    from cleaveset.operators import cluster
+
+    monkeypatch.setattr(pairwise, "edges", None)  # pairs are never rows
+    rng = np.random.RandomState(3)
+    x = np.concatenate([rng.randn(60, 2) * 0.3 + c for c in ((0, 0), (4, 0), (1.4, 1.4))] + [rng.rand(60, 2) * 8 - 2])
+    near = all_distances(x) <= 0.3
+    core = near.sum(1) >= 5
+    label = components_by_all(near & core[None] & core[:, None])
+    number = {r: i for i, r in enumerate(sorted(set(label[core])))}
+    want = [number[label[i]] if core[i] else min((number[label[j]] for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(x))]
+    got = {r.id: r.cluster for r in cluster.dbscan(table(spark, x), 0.3, 5).collect()}
+    assert [got[i] for i in range(len(x))] == want and -1 in want and any(not core[i] and want[i] >= 0 for i in range(len(x)))
