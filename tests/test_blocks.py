@@ -80,3 +80,23 @@ def test_dbscan_by_its_definition_without_a_row_a_pair(spark, monkeypatch):
     want = [number[label[i]] if core[i] else min((number[label[j]] for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(x))]
     got = {r.id: r.cluster for r in cluster.dbscan(table(spark, x), 0.3, 5).collect()}
     assert [got[i] for i in range(len(x))] == want and -1 in want and any(not core[i] and want[i] >= 0 for i in range(len(x)))
+
+
+@pytest.mark.parametrize("thresholded,guard", [(True, 0.0), (False, 1e-10)])
+def test_spectral_scores_beyond_the_dense_kernel(spark, thresholded, guard):
+    from cleaveset.operators import graph
+
+    x = np.concatenate([np.random.RandomState(4).randn(150, 12), np.random.RandomState(5).randn(100, 12) + 0.7])
+    df = table(spark, x)
+    dense, swept = ({r.id: r.score for r in graph.spectral_scores(df, thresholded=thresholded, guard=guard, dense_rows=n).collect()} for n in (250, 249))
+    assert sorted(swept) == list(range(250)) and max(abs(dense[i] - swept[i]) for i in dense) < 1e-7
+
+
+@pytest.mark.parametrize("seed,spread,threshold", [(6, 0.0, None), (7, 9.0, 1e-9), (8, 9.0, None)])
+def test_minimum_cut_beyond_the_dense_kernel(spark, seed, spread, threshold):
+    from cleaveset.operators import graph
+
+    rng = np.random.RandomState(seed)
+    df = table(spark, np.concatenate([rng.randn(60, 3), rng.randn(45, 3) * 0.8 + spread]))
+    dense, swept = (sorted((r.id, r.split) for r in graph.min_cut_sides(df, 0.7, threshold, dense_rows=n).collect()) for n in (105, 104))
+    assert dense == swept and len(dense) == 105
