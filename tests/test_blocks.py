@@ -100,3 +100,17 @@ def test_minimum_cut_beyond_the_dense_kernel(spark, seed, spread, threshold):
     df = table(spark, np.concatenate([rng.randn(60, 3), rng.randn(45, 3) * 0.8 + spread]))
     dense, swept = (sorted((r.id, r.split) for r in graph.min_cut_sides(df, 0.7, threshold, dense_rows=n).collect()) for n in (105, 104))
     assert dense == swept and len(dense) == 105
+
+
+def test_discrepancy_holds_no_square_matrix():
+    import tracemalloc
+
+    from cleaveset.operators import kernels
+
+    x = np.random.RandomState(9).randn(3000, 8)
+    train = np.arange(3000) % 10 < 7
+    tracemalloc.start()
+    after = kernels.Discrepancy(20)(x, train.copy(), np.random.RandomState(0), np.arange(3000))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert after.sum() == train.sum() and most < 3000 * 3000 * 8 / 2
