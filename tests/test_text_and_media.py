@@ -135,3 +135,15 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     got = {r.id: (round(r.score, 3), r.split) for r in spark.read.parquet(out).collect()}
     assert got == {1: (0.667, "train"), 2: (1.0, "test")}
+
+
+def test_rarity_shuffles_only_tokens_of_uncommon_words(spark, monkeypatch):
+    from cleaveset.operators import text
+
+    monkeypatch.setattr(text, "COMMON", 2)
+    texts = ["a a a b c", "A b b d", "", None, "a e e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    tokens = {i: (t or "").lower().split() for i, t in enumerate(texts)}
+    every = [w for t in tokens.values() for w in t]
+    want = {i: round(sum(1 - every.count(w) / len(every) for w in t) / len(t), 6) if t else 0.0 for i, t in tokens.items()}
+    assert {r.id: r.score for r in text.vocabulary_rarity(df, text.corpus_frequencies(df)).collect()} == want
